@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .token_files import op1_token_files
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op5_bpe": op5_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
 
