@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .html_text import op2_html_text
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_html_text": op2_html_text,
     "op5_bpe": op5_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
