@@ -25,51 +25,96 @@ SALTS = 64
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def repeat_words(words: Column, window: int = 5) -> Column:
-    """How many words lie in a window of words that the text holds twice or more, first one included.
+def gram_hashes(hashes: Column) -> Column:
+    """Hashes of all windows of five words, from word hashes: windows of 2, then 4, then 5 words."""
+
+    def join(a: Column, b: Column, n: Column) -> Column:
+        return F.zip_with(F.slice(a, 1, n), b, lambda x, y: F.xxhash64(x, y))
+
+    n = F.size(hashes)
+    two = join(hashes, F.slice(hashes, 2, n - 1), n - 1)
+    four = F.zip_with(F.slice(two, 1, n - 3), F.slice(two, 3, n - 3), lambda x, y: F.xxhash64(x, y))
+    return join(F.slice(four, 1, n - 4), F.slice(hashes, 5, n - 4), n - 4)
 
-    Windows are compared by 64-bit hashes of 64-bit word hashes. Texts whose windows are all
-    distinct, nearly all texts, stop after a hash set; others sort (hash, position) pairs.
-    """
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    last = F.size(words) - (window - 1)
-    shifted = [F.slice(hashes, F.lit(k + 1), F.greatest(last, F.lit(0))).alias(f"w{k}") for k in range(window)]
-    grams = F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(window)]))
-    return F.when(last < 2, F.array().cast("array<bigint>")).otherwise(grams)
 
+def _words_in(places: Column, window: int) -> Column:
+    """Words covered by windows that start at the given places, in ascending order."""
+    steps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda p, q: F.least(F.lit(window), F.coalesce(q - p, F.lit(window))))
+    return F.aggregate(steps, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
 
-def _covered(grams: Column, window: int) -> Column:
+
+def _exact_places(grams: Column) -> Column:
+    """Places of windows found twice or more, by sorting (hash, place) structs."""
     pairs = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     none = F.array(F.lit(None).cast("struct<g:bigint,i:int>"))
     around = F.arrays_zip(pairs.alias("x"), F.concat(none, F.slice(pairs, 1, F.size(pairs) - 1)).alias("before"), F.concat(F.slice(pairs, 2, F.size(pairs)), none).alias("after"))
     twice = F.filter(around, lambda z: (z["x"]["g"] == z["before"]["g"]) | (z["x"]["g"] == z["after"]["g"]))
-    at = F.array_sort(F.transform(twice, lambda z: z["x"]["i"]))
-    step = F.arrays_zip(at.alias("p"), F.slice(at, 2, F.size(at)).alias("q"))
-    return F.aggregate(step, F.lit(0).cast("bigint"), lambda acc, z: acc + F.least(F.lit(window), F.coalesce(z["q"] - z["p"], F.lit(window))))
+    return F.array_sort(F.transform(twice, lambda z: z["x"]["i"]))
+
+
+#: Bits of a packed long that hold the place; the others hold the hash's high bits.
+PLACE_BITS = 24
+
+
+def repeats(grams: DataFrame) -> DataFrame:
+    """Adds n_repeat_words to rows with an array column ``grams`` of window hashes.
+
+    Hash and place are packed into one long, so that one sort of plain longs brings equal windows
+    together. Where packing could merge different hashes (equal high bits, or a place that
+    doesn't fit) the structs are sorted instead: the result is that of the full hashes.
+    """
+    mask = (1 << PLACE_BITS) - 1
+    some = F.size(F.array_distinct("grams")) < F.size("grams")
+    packed = F.sort_array(F.transform("grams", lambda g, i: g.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint"))))
+    sorted_ = grams.withColumn("packed", F.when(some & (F.size("grams") <= mask), packed))
 
+    def equal(a: Column, b: Column) -> Column:
+        return F.shiftright(a.bitwiseXOR(b), PLACE_BITS) == 0
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", window: int = 5) -> DataFrame:
-    """id, host and the measures of each document's whole text."""
+    rest = F.slice("packed", 2, F.size("packed") - 1)
+    first = F.array_compact(F.zip_with("packed", rest, lambda a, b: F.when(equal(a, b), a)))
+    second = F.array_compact(F.zip_with("packed", rest, lambda a, b: F.when(equal(a, b), b)))
+    matched = sorted_.withColumn("first", first).withColumn("second", second)
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(mask)).cast("int")
+
+    merged = F.exists(F.zip_with("first", "second", lambda a, b: F.element_at("grams", place(a) + 1) != F.element_at("grams", place(b) + 1)), lambda x: x)
+    places = F.sort_array(F.array_distinct(F.transform(F.concat("first", "second"), place)))
+    zero = F.lit(0).cast("bigint")
+    count = F.when(F.col("grams").isNull(), zero).when(F.col("packed").isNull(), F.when(some, _words_in(_exact_places(F.col("grams")), 5)).otherwise(zero)).when(merged, _words_in(_exact_places(F.col("grams")), 5))
+    return matched.withColumn("n_repeat_words", count.otherwise(_words_in(places, 5))).drop("grams", "packed", "first", "second")
+
+
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """id, host and the measures of each document's whole text.
+
+    n_repeat_words counts words in windows of five that the text holds twice or more, first one
+    included. Windows are compared by 64-bit hashes of 64-bit word hashes. Texts whose windows
+    are all distinct stop after a hash set.
+    """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_or_empty(text_col).alias("text"))
-    words = base.withColumn("words", F.array_remove(F.split("text", f"[{WORD_SPACE}]+"), ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{WORD_SPACE}]"))
-    return words.select(
+    words = base.select(
         "doc_id",
         "host",
-        F.size("words").cast("bigint").alias("n_words"),
-        F.char_length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        lines.alias("lines"),
-        repeat_words(F.col("words"), window).alias("grams"),
-    ).select(
+        F.array_remove(F.split("text", f"[{WORD_SPACE}]+"), "").alias("words"),
+        F.char_length(F.regexp_replace("text", f"[{WORD_SPACE}]+", "")).cast("bigint").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
+        F.when(F.contains("text", F.lit("\n")), lines).alias("lines"),
+    )
+    hashed = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    grams = hashed.withColumn("grams", F.when(F.size("hashes") >= 6, gram_hashes(F.col("hashes"))))
+    counted = grams.select(
         "doc_id",
         "host",
-        "n_words",
+        F.size("words").cast("bigint").alias("n_words"),
         "word_chars",
         "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("grams")) == F.size("grams"), F.lit(0).cast("bigint")).otherwise(_covered(F.col("grams"), window)).alias("n_repeat_words"),
+        F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("bigint").alias("n_dup_lines"),
+        "grams",
     )
+    return repeats(counted)
 
 
 def host_verdicts(judged: DataFrame, reject_above: float = 0.5, strength: tuple[float, float] = (2.0, 1000.0)) -> DataFrame:
