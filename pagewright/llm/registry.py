@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .html_text import op2_html_text
+from .line_dedup import OP3_SQL, op3_line_dedup
 from .minhash_dedup import OP7_SQL, op7_minhash_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .token_files import op1_token_files
@@ -11,12 +12,14 @@ from .token_files import op1_token_files
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_html_text": op2_html_text,
+    "op3_line_dedup": op3_line_dedup,
     "op5_bpe": op5_bpe,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op3_line_dedup": OP3_SQL,
     "op7_minhash_dedup": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
 }
