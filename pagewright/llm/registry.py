@@ -7,6 +7,7 @@ from .html_text import op2_html_text
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .minhash_dedup import OP7_SQL, op7_minhash_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .source_mixing import OP10_SQL, op10_source_mixing
 from .token_files import op1_token_files
 
 QUERIES = {
@@ -16,10 +17,12 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": OP3_SQL,
     "op7_minhash_dedup": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op10_source_mixing": OP10_SQL,
 }
