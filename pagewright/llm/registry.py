@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .hnsw_search import op9_hnsw_search
 from .html_text import op2_html_text
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .minhash_dedup import OP7_SQL, op7_minhash_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_hnsw_search": op9_hnsw_search,
     "op10_source_mixing": op10_source_mixing,
 }
 
