@@ -10,6 +10,7 @@ from .lm_scoring import op4_lm_scoring
 from .minhash_dedup import OP7_SQL, op7_minhash_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .source_mixing import OP10_SQL, op10_source_mixing
+from .suffix_dedup import op6_suffix_dedup
 from .token_files import op1_token_files
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_bpe": op5_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_hnsw_search": op9_hnsw_search,
