@@ -160,8 +160,8 @@ def _later_of_pairs(firsts: DataFrame, occurrences: DataFrame, docs: DataFrame,
     return pairs.join(one, "h").join(two, "g").filter(F.levenshtein("x", "y", 1) == 1).select("h").distinct()
 
 
-def removed_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(d, t, kept line numbers) per document with eligible lines, and the documents with d and t."""
+def kept_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1) -> DataFrame:
+    """(d, t, kept_lines): numbers of the lines that stay, per document with lines that take part."""
     if max_edits not in (0, 1):
         raise ValueError("the edit bound is 0 or 1")
     occurrences = materialise(_occurrences(docs, min_chars, max_edits), "line-occurrences")
@@ -177,13 +177,13 @@ def removed_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1) -> t
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_edits: int = 1, length_col: str | None = None) -> DataFrame:
     """docs with the removed lines cut from the text, n_lines and n_removed; length_col is brought up to date."""
     names = docs.columns
+    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"),
         F.xxhash64(text_or_empty(text_col)).alias("t"),
-        text_or_empty(text_col).alias("text"),
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"),
     )
-    kept = removed_lines(keyed.select("d", "t", "text"), min_chars, max_edits)
+    kept = kept_lines(keyed.select("d", "t", text.alias("text")), min_chars, max_edits)
 
     @F.udf("struct<text:string,n_lines:long,n_removed:long>", useArrow=True)
     def cut(text, lines):
@@ -191,7 +191,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = [x for k, x in enumerate(all_lines) if k not in eligible or k in stay]
         return "\n".join(out), len(all_lines), len(all_lines) - len(out)
 
-    joined = keyed.join(kept, ["d", "t"], "left").withColumn("new", cut("text", "kept_lines"))
+    joined = keyed.join(kept, ["d", "t"], "left").withColumn("new", cut(text, "kept_lines"))
     columns = [F.col("new.text").alias(c) if c == text_col else F.char_length("new.text").cast("long").alias(c) if c == length_col else F.col(f"row.`{c}`") for c in names]
     return joined.select(*columns, F.col("new.n_lines").alias("n_lines"), F.col("new.n_removed").alias("n_removed"))
 

@@ -86,18 +86,20 @@ def repeats(grams: DataFrame) -> DataFrame:
     return matched.withColumn("n_repeat_words", count.otherwise(_words_in(places, 5))).drop("grams", "packed", "first", "second")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """id, host and the measures of each document's whole text.
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: bool = False) -> DataFrame:
+    """id, host and the measures of each document's whole text; with ``carry`` its row as ``row``.
 
     n_repeat_words counts words in windows of five that the text holds twice or more, first one
     included. Windows are compared by 64-bit hashes of 64-bit word hashes. Texts whose windows
     are all distinct stop after a hash set.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_or_empty(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_or_empty(text_col).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
+    kept = ["row"] if carry else []
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{WORD_SPACE}]"))
     words = base.select(
         "doc_id",
         "host",
+        *kept,
         F.array_remove(F.split("text", f"[{WORD_SPACE}]+"), "").alias("words"),
         F.char_length(F.regexp_replace("text", f"[{WORD_SPACE}]+", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
@@ -108,6 +110,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     counted = grams.select(
         "doc_id",
         "host",
+        *kept,
         F.size("words").cast("bigint").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -145,14 +148,19 @@ def join_hosts(judged: DataFrame, verdicts: DataFrame) -> DataFrame:
     return left.join(salted, F.col("host").eqNullSafe(F.col("v_host")) & (F.col("salt") == F.col("v_salt")), "left").drop("v_host", "v_salt", "salt")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, repeat_percent: int = 20, reject_above: float = 0.5) -> DataFrame:
-    """doc_id, the measures, base_failed, host_rejected and kept for every row of docs."""
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, repeat_percent: int = 20, reject_above: float = 0.5, carry: bool = False) -> DataFrame:
+    """doc_id, the measures, base_failed, host_rejected and kept for every row of docs (as ``row`` with ``carry``)."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    judged = materialise(measures(docs, id_col, text_col, host_col).withColumn("base_failed", failed), "quality-measures")
+    judged = materialise(measures(docs, id_col, text_col, host_col, carry).withColumn("base_failed", failed), "quality-measures")
     out = join_hosts(judged, materialise(host_verdicts(judged, reject_above), "quality-hosts"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
 
 
+def keep_good(docs: DataFrame, **rules) -> DataFrame:
+    """The rows of docs that the rules keep."""
+    return judge(docs, carry=True, **rules).filter("kept").select("row.*")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
 

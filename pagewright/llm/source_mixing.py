@@ -19,6 +19,8 @@ rows count as often as they occur; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +95,23 @@ def mix(docs: DataFrame, keys: dict[str, Column], weights: dict[str, Column], bu
     return summed.select("row", *levels, "n_tokens", "full_epochs", part.cast("bigint").alias("part_tokens"))
 
 
+def take(docs: DataFrame, keys: dict[str, Column], weights: dict[str, Column], length_col: str | None = None, text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that the mix takes, once per epoch; a part is the text up to its last token taken."""
+    mixed = mix(docs, keys, weights, text_col=text_col, **how)
+
+    @F.udf("string", useArrow=True)
+    def first_tokens(text, n):
+        m = None
+        for m, _ in zip(re.finditer(r"[^\x20\x09-\x0D]+", text), range(n), strict=False):
+            pass
+        return text[: m.end()] if m else ""
+
+    whole = mixed.filter("full_epochs > 0 and n_tokens > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("full_epochs")))).drop("copy").union(mixed.filter("part_tokens = n_tokens and n_tokens > 0"))
+    part = mixed.filter("part_tokens > 0 and part_tokens < n_tokens").withColumn("cut", first_tokens(F.col(f"row.`{text_col}`"), "part_tokens"))
+    columns = [F.col("cut").alias(c) if c == text_col else F.char_length("cut").cast("long").alias(c) if c == length_col else F.col(f"row.`{c}`") for c in docs.columns]
+    return whole.select("row.*").union(part.select(*columns))
+
+
 def source_tree() -> tuple[dict[str, Column], dict[str, Column]]:
     """Keys and production weights: four domains by source number, languages, sources alike."""
     number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint)")
