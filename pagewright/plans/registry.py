@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import network_queries, page_queries, text_queries  # noqa: F401  (their queries register themselves)
+from .text_queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "term_topk_network"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
