@@ -31,7 +31,7 @@ INFINITE = 1 << 60
 #: The split pattern of the vocabulary file, with white space as Unicode's White_Space property.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Chunks up to this many bytes are remembered, so many at most.
-MEMORY_BYTES, MEMORY_CHUNKS = 64, 400_000
+MEMORY_BYTES, MEMORY_CHUNKS = 64, 700_000
 
 
 def byte_symbols() -> list[str]:
@@ -53,18 +53,17 @@ class PairTree:
 
     def merge(self, symbols: list[int]) -> list[int]:
         n = len(symbols)
-        if n < 2:
+        rank, none = self.ranks.get, INFINITE
+        leaves = [rank(a << 20 | b, none) for a, b in zip(symbols, symbols[1:])]
+        if not leaves or min(leaves) == none:
             return symbols
-        rank = self.ranks.get
-        size = 1 << max(0, (n - 2).bit_length())
-        tree = [INFINITE] * (2 * size)
-        for i in range(n - 1):
-            tree[size + i] = rank(symbols[i] << 20 | symbols[i + 1], INFINITE)
+        size = 1 << (n - 2).bit_length()
+        tree = [none] * size + leaves + [none] * (size - n + 1)
         for i in range(size - 1, 0, -1):
             left, right = tree[2 * i], tree[2 * i + 1]
             tree[i] = left if left <= right else right
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (low := tree[1]) < INFINITE:
+        while (low := tree[1]) < none:
             i = 1
             while i < size:
                 i *= 2
@@ -72,28 +71,30 @@ class PairTree:
                     i += 1
             p = i - size
             q = after[p]
-            symbols[p], symbols[q] = self.results[low], -1
+            new = symbols[p] = self.results[low]
+            symbols[q] = -1
             far = after[p] = after[q]
-            self._set(tree, size + p, rank(symbols[p] << 20 | symbols[far], INFINITE) if far < n else INFINITE)
+            changed = []
             if far < n:
                 before[far] = p
-            if q < n - 1:
-                self._set(tree, size + q, INFINITE)
+                changed.append((i, rank(new << 20 | symbols[far], none)))
+                changed.append((size + q, none))
+            else:
+                changed.append((i, none))
             if (back := before[p]) >= 0:
-                self._set(tree, size + back, rank(symbols[back] << 20 | symbols[p], INFINITE))
+                changed.append((size + back, rank(symbols[back] << 20 | new, none)))
+            for i, value in changed:
+                tree[i] = value
+                while i > 1:
+                    other = tree[i ^ 1]
+                    if other < value:
+                        value = other
+                    i >>= 1
+                    if tree[i] == value:
+                        break
+                    tree[i] = value
         return [s for s in symbols if s >= 0]
 
-    @staticmethod
-    def _set(tree: list[int], i: int, value: int) -> None:
-        tree[i] = value
-        while i > 1:
-            i >>= 1
-            left, right = tree[2 * i], tree[2 * i + 1]
-            new = left if left <= right else right
-            if tree[i] == new:
-                return
-            tree[i] = new
-
 
 class WordBpe:
     """Encoder and decoder of a byte-level BPE vocabulary with word ends (tokenizers' JSON format)."""
@@ -119,28 +120,32 @@ class WordBpe:
             results.append(vocab[a + b])
         self.tree = PairTree(ranks, results)
         self.pieces: dict[str, list[int]] = {}
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.ids: dict[bytes, bytes] = {}
+        self.decoded: dict[bytes, bytes] = {}
 
     def piece(self, piece: str) -> list[int]:
-        if (known := self.pieces.get(piece)) is not None:
-            return known
         raw = piece.encode()
         symbols = [self.inner[b] for b in raw]
         symbols[-1] = self.last[raw[-1]]
-        ids = self.tree.merge(symbols)
-        if len(raw) <= MEMORY_BYTES:
-            if len(self.pieces) >= MEMORY_CHUNKS // 2:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        return self.tree.merge(symbols)
+
+    def remembered(self, piece: str) -> list[int]:
+        """The ids of a short piece that many chunks share, such as a punctuation mark."""
+        if (known := self.pieces.get(piece)) is None:
+            known = self.piece(piece)
+            if len(self.pieces) < MEMORY_CHUNKS // 8:
+                self.pieces[piece] = known
+        return known
 
     def plain(self, text: str) -> list[int]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        if text.isalpha():
+            return self.piece(text)
         out: list[int] = []
         for p in PIECES.findall(text):
-            out += self.piece(p)
+            out += self.remembered(p) if len(p) < 4 else self.piece(p)
         return out
 
     def chunk(self, raw: bytes) -> tuple[bytes, bytes]:
@@ -157,32 +162,56 @@ class WordBpe:
         ids += self.plain(text)
         return array("I", ids).tobytes(), "".join([" " + self.tokens[i] for i in ids]).encode()
 
-    def encode_text(self, text: bytes) -> tuple[bytes, bytes]:
-        """(ids, decoded text) of a whole text: each a join over its chunks."""
-        chunks, known = text.split(), self.chunks
-        try:
-            both = [known[c] for c in chunks]
-        except KeyError:
-            both = []
-            for c in chunks:
-                pair = known.get(c)
-                if pair is None:
-                    pair = self.chunk(c)
-                    if len(c) <= MEMORY_BYTES:
-                        if len(known) >= MEMORY_CHUNKS:
-                            known.clear()
-                        known[c] = pair
-                both.append(pair)
-        return b"".join([p[0] for p in both]), b"".join([p[1] for p in both])[1:]
+    def encode_texts(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded text) of whole texts: each a join over the text's chunks.
+
+        A-Z and a-z give the same tokens, except in special tokens, so texts without those are
+        put into lower case first and share more chunks.
+        """
+        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        ids, decoded = self.ids, self.decoded
+        if len(ids) > MEMORY_CHUNKS:
+            ids.clear()
+            decoded.clear()
+        long: list[bytes] = []
+        for chunks in cut:
+            for c in set(chunks).difference(ids):
+                if c[-1:] in b",." and (stem := c[:-1]) in ids and stem.isalpha():
+                    mark = c[-1:]
+                    if mark not in ids:
+                        ids[mark], decoded[mark] = self.chunk(mark)
+                    ids[c], decoded[c] = ids[stem] + ids[mark], decoded[stem] + decoded[mark]
+                    continue
+                ids[c], decoded[c] = self.chunk(c)
+                if len(c) > MEMORY_BYTES:
+                    long.append(c)
+        out = [(b"".join(map(ids.__getitem__, chunks)), b"".join(map(decoded.__getitem__, chunks))[1:]) for chunks in cut]
+        for c in long:
+            ids.pop(c, None)
+            decoded.pop(c, None)
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        return list(array("I", self.encode_text((text or "").encode())[0]))
+        return list(array("I", self.encode_texts([(text or "").encode()])[0][0]))
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, special tokens kept: the file names no decoder."""
         return " ".join(self.tokens[i] for i in ids)
 
 
+def parts(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
+    """The texts in runs of about ``most`` bytes, so that few chunks are held at a time."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 _loaded: dict[str, WordBpe] = {}
 
 
@@ -200,7 +229,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = load(vocab_path), hashlib.sha256
         for batch in batches:
-            rows = [bpe.encode_text(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = [r for part in parts(batch.column(1).cast(pa.binary()).to_pylist()) for r in bpe.encode_texts(part)]
             columns = [batch.column(0), pa.array([len(i) // 4 for i, _ in rows], pa.int64()), pa.array([sha(i).hexdigest() for i, _ in rows], pa.string()), pa.array([sha(d).hexdigest() for _, d in rows], pa.string())]
             if not digests_only:
                 columns += [pa.array([i for i, _ in rows], pa.binary()), pa.array([d.decode("utf-8", "replace") for _, d in rows], pa.string())]
