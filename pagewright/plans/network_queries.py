@@ -206,11 +206,11 @@ def register_classify(spark, sf):
     return D.classify(d, rules, "varia", "manual").select("doc_id", "register")
 
 
-@query("SELECT year(o_orderdate)::INT AS y, o_orderstatus, round(sum(o_totalprice * o_custkey) / sum(o_custkey), 2) AS mean, round(median(o_totalprice), 2) AS median, count(*) AS n FROM orders GROUP BY ALL")
+@query("SELECT year(o_orderdate)::INT AS y, o_orderstatus, round(sum(o_totalprice * o_custkey) / sum(o_custkey), 4) AS mean, round(median(o_totalprice), 4) AS median, count(*) AS n FROM orders GROUP BY ALL")
 def weighted_mean_by_year(spark, sf):
     o = table(spark, sf, "orders").select(F.year("o_orderdate").alias("y"), "o_orderstatus", "o_totalprice", "o_custkey")
     m = D.weighted_means(o, ["y", "o_orderstatus"], "o_totalprice", "o_custkey")
-    return m.select("y", "o_orderstatus", F.round("mean", 2).alias("mean"), F.round("median", 2).alias("median"), "n")
+    return m.select("y", "o_orderstatus", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), "n")
 
 
 def _powers():
