@@ -20,6 +20,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import parts
 from .common import scratch_path, table, text_or_empty
 
 MAGIC = b"PWDAC001"
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 19
 #: Chunks up to this many bytes are remembered by the encoder, so many at most.
-MEMORY_BYTES, MEMORY_CHUNKS = 64, 400_000
+MEMORY_BYTES, MEMORY_CHUNKS = 64, 1_300_000
+#: Plain words encoded as one text.
+WORDS_AT_ONCE = 500
 SEGMENTS = "shard int, segment int, shard_start long, n_tokens long, doc_ids binary, ends binary, code binary"
 
 
@@ -109,8 +113,9 @@ class Dac:
 class LibraryEncoder:
     """Encodes whole texts with the tokenizers library, each distinct white-space chunk once.
 
-    Exact for vocabularies whose tokens never span white space and whose normaliser works within
-    chunks, as the word vocabulary's do; other vocabularies take ``by_chunk=False``.
+    Exact for vocabularies whose tokens never span white space, whose normaliser works within
+    chunks and lowers letters, and that part letters from punctuation, as the word vocabulary
+    does; other vocabularies take ``by_chunk=False``.
     """
 
     def __init__(self, path: str, by_chunk: bool = True):
@@ -120,24 +125,60 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_chunk, self.known = Tokenizer.from_file(path), by_chunk, {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: bytes) -> bytes:
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk. Plain words are encoded many at a time, as one text.
+
+        A chunk of letters is one word to the library, so the ends of words part the ids; where
+        their number differs (a letter that is no letter once normalised), one by one.
+        """
+        out: list[bytes | None] = [None] * len(chunks)
+        words = [k for k, c in enumerate(chunks) if c.isalpha()]
+        runs = [words[a : a + WORDS_AT_ONCE] for a in range(0, len(words), WORDS_AT_ONCE)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join([chunks[k] for k in run]) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) == len(run):
+                raw, at = ids.tobytes(), 0
+                for k, end in zip(run, ends.tolist(), strict=True):
+                    out[k] = raw[at:end]
+                    at = end
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self.ids([chunks[k] for k in rest]), strict=True):
+            out[k] = x
+        return out
+
+    def encode_texts(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of whole texts. Texts without special tokens share chunks in lower case."""
         if not self.by_chunk:
-            return self.ids([text.decode()])[0]
-        chunks, known = text.split(), self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        new = list(dict.fromkeys(c for c in chunks if c not in known))
-        got = dict(zip(new, self.ids([c.decode() for c in new]), strict=True))
-        out = b"".join([known[c] if c in known else got[c] for c in chunks])
-        if len(known) + len(got) > MEMORY_CHUNKS:
+            return self.ids([t.decode() for t in texts])
+        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        known = self.known
+        if len(known) > MEMORY_CHUNKS:
             known.clear()
-        known.update((c, i) for c, i in got.items() if len(c) <= MEMORY_BYTES)
+        missing = set(chain.from_iterable(cut)).difference(known)
+        # a word and the comma or full stop after it are separate tokens to the library
+        marked = [c for c in missing if c[-1:] in b",." and c[:-1].isalpha()]
+        missing.difference_update(marked)
+        missing.update(c[:-1] for c in marked)
+        missing.update((b",", b"."))
+        new = [c for c in missing if c not in known]
+        known.update(zip(new, self.chunk_ids([c.decode() for c in new]), strict=True))
+        for c in marked:
+            known[c] = known[c[:-1]] + known[c[-1:]]
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        for c in missing:
+            if len(c) > MEMORY_BYTES:
+                del known[c]
+        for c in marked:
+            if len(c) > MEMORY_BYTES:
+                del known[c]
         return out
 
 
@@ -156,25 +197,26 @@ def write_token_files(docs: DataFrame, path: str, vocab_path: str, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocab_path, by_chunk), array("I", [end_id]).tobytes()
         shard, segment, start = TaskContext.get().partitionId(), 0, 0
-        ids, ends, parts, held = [], [], [], 0
+        ids, ends, pieces, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal segment, start, ids, ends, parts, held
-            row = [shard, segment, start, held, np.array([-(1 << 63) if i is None else i for i in ids], np.int64).tobytes(), np.array(ends, np.uint64).tobytes(), dac_encode(np.frombuffer(b"".join(parts), np.uint32))]
+            nonlocal segment, start, ids, ends, pieces, held
+            row = [shard, segment, start, held, np.array([-(1 << 63) if i is None else i for i in ids], np.int64).tobytes(), np.array(ends, np.uint64).tobytes(), dac_encode(np.frombuffer(b"".join(pieces), np.uint32))]
             segment, start = segment + 1, start + held
-            ids, ends, parts, held = [], [], [], 0
+            ids, ends, pieces, held = [], [], [], 0
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "segment", "shard_start", "n_tokens", "doc_ids", "ends", "code"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                got = enc.encode(text) + end
+            coded = (got for run in parts(batch.column(1).cast(pa.binary()).to_pylist()) for got in enc.encode_texts(run))
+            for doc_id, got in zip(batch.column(0).to_pylist(), coded, strict=True):
+                got += end
                 if held and held + len(got) // 4 > SEGMENT_TOKENS:
                     yield flush()
                 held += len(got) // 4
                 ids.append(doc_id)
                 ends.append(held)
-                parts.append(got)
+                pieces.append(got)
         if ids:
             yield flush()
 
