@@ -36,22 +36,32 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialise, table, text_or_empty
 from .minhash_dedup import WordHashes, _mix
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Vocabulary entries and bigrams per reducing shard, about.
 SHARD_WORDS, SHARD_BIGRAMS = 2_000_000, 3_000_000
 #: Bytes of the filter broadcast at once; a larger filter takes more passes over the blocks.
-FILTER_BYTES = 80 << 20
+FILTER_BYTES = 48 << 20
 #: Bits of filter per inserted level, and bits set for it within one 64-bit word.
 BITS, SET = 10, 4
 END, BEGIN = 0x656E642D746F6B65, 0x626567696E2D746F
 #: The quantised counts: powers of two and the values halfway between.
 LEVELS = np.array([1, 2] + [v for k in range(1, 44) for v in (3 * 2 ** (k - 1), 2 ** (k + 1))], np.int64)
 _BINS = 48
-_words = WordHashes()
+_words = WordHashes(250_000)
 
 BLOCKS = "block long, doc_ids binary, held_out binary, lengths binary, tokens binary, vocab binary, counts binary"
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one at a time; binary values are views of the batch, not copies."""
+    for k in range(batch.num_rows):
+        row = {}
+        for name, column in zip(batch.schema.names, batch.columns, strict=True):
+            v = column[k]
+            row[name] = v.as_buffer() if pa.types.is_binary(column.type) else v.as_py()
+        yield row
+
+
 def held_out(doc_id: int | None, parts: int = 7, part: int = 2) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % parts == part
 
@@ -111,7 +121,7 @@ def _totals(blocks: DataFrame, shards: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 vocab, counts = np.frombuffer(row["vocab"], np.uint64), np.frombuffer(row["counts"], np.uint32)
                 cut = _shard_cuts(vocab, shards)
                 parts = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
@@ -186,7 +196,7 @@ def _filters(blocks: DataFrame, shards: int, begin: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 keys, seen, _, n, out = _bigrams(row, begin)
                 train = np.repeat(~out, n)
                 keys, first, counts = np.unique(keys[train], return_index=True, return_counts=True)
@@ -214,7 +224,7 @@ def _history_tokens(blocks: DataFrame, begin: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_BINS, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 _, seen, _, n, out = _bigrams(row, begin)
                 total += np.bincount(_bin(seen[np.repeat(~out, n)]), minlength=_BINS)
         yield pa.RecordBatch.from_arrays([pa.array(range(_BINS), pa.int32()), pa.array(total)], names=["bin", "n"])
@@ -230,7 +240,7 @@ def _scores(blocks: DataFrame, shards: int, first: int, filters: list[bytes], we
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [np.frombuffer(w, np.uint64) for w in shared.value]
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 keys, seen, count, n, out = _bigrams(row, begin)
                 order = np.argsort(keys)
                 cut = _shard_cuts(keys[order], shards)[first : first + len(words) + 1]
