@@ -7,9 +7,10 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     matcher, held, out = difflib.SequenceMatcher(None, autojunk=False), None, []
     for x, y in zip(a, b, strict=True):
@@ -28,7 +29,7 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return _ratio(a, b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio_above(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     """``ratio`` where it exceeds ``least``, else 0: letter counts rule most pairs out first."""
     matcher, held, out = difflib.SequenceMatcher(None, autojunk=False), None, []

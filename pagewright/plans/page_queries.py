@@ -305,3 +305,45 @@ def search_records(spark, sf):
     rows = l.groupBy("source", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"))
     every = table(spark, sf, "documents").select("source", "doc_id").join(rows, ["source", "doc_id"], "left")
     return every.select(F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), "source", "content", T.sort_key(F.col("doc_id") % 1000, F.col("doc_id")).alias("ord"))
+
+
+@query()
+def leaf_heads(spark, sf):
+    """Running heads need lookaround; tested on written cases."""
+    from ..operators.articles import leaf_features
+
+    d = table(spark, sf, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    return leaf_features(d).select("doc_id", "head", "cand", "chars", "text", "tabular")
+
+
+@query()
+def article_sessions(spark, sf):
+    """A fold with similarity; tested on written cases. Lines are paragraphs, short first lines open articles."""
+    from ..operators.articles import article_ranges, assign_articles
+
+    l = lines(spark, sf).withColumn("vol", F.regexp_extract("source", "[0-9]+", 0).cast("int")).withColumn("seq", F.row_number().over(Window.partitionBy("vol").orderBy("doc_id", "line_no")))
+    start = F.when((F.col("line_no") == 0) & (F.length("line") < 200), "title")
+    paras = l.select("vol", F.col("lang").alias("issue"), "seq", F.col("doc_id").cast("int").alias("page"), F.left("line", F.lit(120)).alias("t"), (F.col("line_no") == 0).alias("is_head"), start.alias("start"))
+    return article_ranges(assign_articles(paras))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS a FROM part), p AS (SELECT x.a AS a, y.a AS b FROM w x JOIN w y ON x.a < y.a)
+SELECT a, b, CASE WHEN (a < 'm' AND b < 'p') THEN a || '-' || b ELSE a || b END AS joined FROM p""")
+def hyphen_decisions(spark, sf):
+    from ..functions.repair import join_hyphen
+
+    w = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("a")).distinct()
+    # a few dozen distinct words, all pairs of them wanted
+    pairs = w.join(w.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", join_hyphen(F.col("a"), F.col("b"), F.lit(False), F.col("a") < "m", F.col("b") < "p").alias("joined"))
+
+
+@query("""
+WITH b AS (SELECT o_orderkey, (year(o_orderdate) - 1990) || '-' || lpad(CAST(o_orderkey % 40 AS VARCHAR), 3, '0') AS base FROM orders)
+SELECT o_orderkey, base || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY o_orderkey) AS n FROM b)""")
+def duplicate_ids(spark, sf):
+    base = F.concat_ws("-", (F.year("o_orderdate") - 1990).cast("string"), F.lpad((F.col("o_orderkey") % 40).cast("string"), 3, "0"))
+    n = F.row_number().over(Window.partitionBy("base").orderBy("o_orderkey"))
+    o = table(spark, sf, "orders").select("o_orderkey", base.alias("base")).withColumn("n", n)
+    return o.select("o_orderkey", F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise("")).alias("id"))
