@@ -28,7 +28,7 @@ def term_freq_grouping_sets(spark, sf):
 
 
 KEYNESS = f"""
-t AS (SELECT * FROM ({TOKENS}) WHERE length(term) >= 4 AND lang = 'en'),
+t AS (SELECT * FROM ({TOKENS}) WHERE length(term) >= 4),
 r AS (SELECT term, count(*) * 1e6 / (SELECT count(*) FROM t WHERE source NOT IN ('src0', 'src1', 'src2')) AS pm FROM t WHERE source NOT IN ('src0', 'src1', 'src2') GROUP BY term),
 x AS (SELECT term, count(*) AS f, count(DISTINCT source) AS parts FROM t WHERE source IN ('src0', 'src1', 'src2') GROUP BY term),
 y AS (SELECT term, f, parts, (f / (SELECT sum(f) FROM x) * 1e6) / coalesce(pm, 0.01) AS ratio FROM x LEFT JOIN r USING (term) WHERE f >= 3 AND parts >= 2)"""
@@ -36,7 +36,7 @@ y AS (SELECT term, f, parts, (f / (SELECT sum(f) FROM x) * 1e6) / coalesce(pm, 0
 
 @query(f"WITH {KEYNESS} SELECT term, f, parts, round(ratio, 4) AS ratio, round(f * ln(ratio), 4) AS key FROM y WHERE ratio >= 1.5 ORDER BY f * ln(ratio) DESC, term LIMIT 260")
 def keyness_terms(spark, sf):
-    t = tokens(spark, sf).filter("lang = 'en'")
+    t = tokens(spark, sf)
     rest = t.filter(~F.col("source").isin("src0", "src1", "src2"))
     total = rest.agg(F.count(F.lit(1)).alias("total"))
     reference = rest.groupBy("term").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("term", (F.col("n") * 1e6 / F.col("total")).alias("per_million"))
@@ -47,7 +47,7 @@ def keyness_terms(spark, sf):
 # terms of sentences; the 60 most frequent by sentences are linked
 EDGES = f"""
 {SENTENCES.strip()},
-st AS (SELECT DISTINCT doc_id || ':' || sent AS b, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z][a-z'']+[a-z]')) AS term FROM s WHERE lang = 'en'),
+st AS (SELECT DISTINCT doc_id || ':' || sent AS b, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z][a-z'']+[a-z]')) AS term FROM s),
 su AS (SELECT * FROM st WHERE length(term) >= 4),
 fr AS (SELECT term, count(*) AS n FROM su GROUP BY term),
 ks AS (SELECT term, n FROM fr ORDER BY n DESC, term LIMIT 60),
@@ -60,7 +60,7 @@ net AS (SELECT pos.* FROM pos JOIN best USING (s, t))"""
 
 
 def sentence_terms(spark, sf):
-    s = P.sentences(table(spark, sf, "documents").filter("lang = 'en'"), ["doc_id"], "text")
+    s = P.sentences(table(spark, sf, "documents"), ["doc_id"], "text")
     return s.select(F.concat_ws(":", "doc_id", "sent").alias("b"), F.explode(F.array_distinct(T.word_tokens(F.col("text")))).alias("term")).filter(F.length("term") >= 4)
 
 
@@ -243,29 +243,25 @@ def corr_validation(spark, sf):
     return a.select("lang", F.round("r", 6).alias("r"), *(F.round(c, 4).alias(c) for c in ("mad", "mean_a", "mean_b")), "n")
 
 
-WORDS = r"""w AS (SELECT doc_id, unnest(range(len(ws)))::INT AS pos, unnest(ws) AS form FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0b]+'), lambda x: x <> '') AS ws FROM documents WHERE lang = 'en')),
+WORDS = r"""w AS (SELECT doc_id, unnest(range(len(ws)))::INT AS pos, unnest(ws) AS form FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0b]+'), lambda x: x <> '') AS ws FROM documents)),
 po AS (SELECT *, regexp_replace(strip_accents(lower(form)), '[^a-z0-9'']', '', 'g') AS term FROM w)"""
 HITS = f"""{WORDS},
 mt AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM po WHERE term LIKE 'whti%' OR term LIKE 'hest%'),
 hi AS (SELECT doc_id, min(pos) AS first, max(pos) AS last FROM mt GROUP BY doc_id, g)"""
 
 
-def english(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'")
-
-
 def found(spark, sf):
-    return S.hits(S.postings(english(spark, sf), "doc_id", "text"), "doc_id", ["whti", "hest"])
+    return S.hits(S.postings(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", ["whti", "hest"])
 
 
 @query(f"WITH {WORDS} SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM po GROUP BY term")
 def postings(spark, sf):
-    return S.postings(english(spark, sf), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("doc_id").alias("df"))
+    return S.postings(table(spark, sf, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("doc_id").alias("df"))
 
 
 @query(f"WITH {WORDS} SELECT a.doc_id, a.pos FROM po a JOIN po b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN po c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'of' AND b.term = 'the' AND c.term = 'and' OR a.term = 'in' AND b.term = 'the' AND c.term = 'of'")
 def phrase(spark, sf):
-    p = S.postings(english(spark, sf), "doc_id", "text")
+    p = S.postings(table(spark, sf, "documents"), "doc_id", "text")
     return S.phrase(p, "doc_id", ["of", "the", "and"]).union(S.phrase(p, "doc_id", ["in", "the", "of"]))
 
 
@@ -277,19 +273,19 @@ kw AS (SELECT doc_id, first, right(coalesce((SELECT string_agg(form, ' ' ORDER B
 
 @query(f"WITH {KWIC} SELECT * FROM kw")
 def kwic(spark, sf):
-    return S.kwic(english(spark, sf), "doc_id", "text", found(spark, sf))
+    return S.kwic(table(spark, sf, "documents"), "doc_id", "text", found(spark, sf))
 
 
 @query(f"""
 WITH {KWIC}, f AS (SELECT *, trim(regexp_replace(strip_accents(lower("right")), '[^a-z]+', ' ', 'g')) AS form FROM kw)
 SELECT doc_id, first, form, row_number() OVER (ORDER BY form = '', form, doc_id, first)::INT AS place FROM f""")
 def kwic_sorted(spark, sf):
-    return S.sorted_lines(S.kwic(english(spark, sf), "doc_id", "text", found(spark, sf)), "right", "doc_id").select("doc_id", "first", "form", "place")
+    return S.sorted_lines(S.kwic(table(spark, sf, "documents"), "doc_id", "text", found(spark, sf)), "right", "doc_id").select("doc_id", "first", "form", "place")
 
 
 @query(f"WITH {WORDS} SELECT term, count(*) AS n FROM po WHERE term LIKE 'whti%' OR term LIKE 'hest%' GROUP BY term ORDER BY n DESC, term LIMIT 12")
 def forms(spark, sf):
-    p = S.postings(english(spark, sf), "doc_id", "text").filter(F.col("term").startswith("whti") | F.col("term").startswith("hest"))
+    p = S.postings(table(spark, sf, "documents"), "doc_id", "text").filter(F.col("term").startswith("whti") | F.col("term").startswith("hest"))
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(12)
 
 
@@ -297,21 +293,21 @@ def forms(spark, sf):
 WITH {HITS}, r AS (SELECT doc_id, unnest(list_concat(range(first - 5, first), range(last + 1, last + 6)))::INT AS pos FROM hi)
 SELECT term, count(*) AS n FROM po JOIN r USING (doc_id, pos) WHERE length(term) >= 4 AND term NOT IN ({", ".join(repr(w) for w in FUNCTION)}) AND NOT (term LIKE 'whti%' OR term LIKE 'hest%') GROUP BY term ORDER BY n DESC, term LIMIT 24""")
 def collocates(spark, sf):
-    return S.collocates(S.postings(english(spark, sf), "doc_id", "text"), "doc_id", found(spark, sf), ["whti", "hest"], FUNCTION)
+    return S.collocates(S.postings(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", found(spark, sf), ["whti", "hest"], FUNCTION)
 
 
 @query(f"""
-WITH {HITS}, h AS (SELECT DISTINCT doc_id FROM hi), d AS (SELECT * FROM documents WHERE lang = 'en')
+WITH {HITS}, h AS (SELECT DISTINCT doc_id FROM hi), d AS (SELECT * FROM documents)
 SELECT source, count(h.doc_id) AS hits, count(*) AS docs, round(count(h.doc_id) * 1000 / count(*), 6) AS rate FROM d LEFT JOIN h USING (doc_id) GROUP BY source""")
 def distribution(spark, sf):
-    return S.distribution(found(spark, sf), english(spark, sf), "doc_id", "source").withColumn("rate", F.round("rate", 6))
+    return S.distribution(found(spark, sf), table(spark, sf, "documents"), "doc_id", "source").withColumn("rate", F.round("rate", 6))
 
 
 @query(f"""
 WITH {HITS}, h AS (SELECT DISTINCT doc_id FROM hi)
 SELECT source, lang, count(*) AS n, (grouping(source) * 2 + grouping(lang))::INT AS level FROM documents JOIN h USING (doc_id) GROUP BY GROUPING SETS ((source), (lang), (source, lang))""")
 def facets(spark, sf):
-    return S.facets(found(spark, sf), english(spark, sf), "doc_id", "source", "lang")
+    return S.facets(found(spark, sf), table(spark, sf, "documents"), "doc_id", "source", "lang")
 
 
 @query(f"""
@@ -320,5 +316,5 @@ t AS (SELECT doc_id, term, count(*) AS tf FROM po WHERE term IN ('thndor', 'whti
 x AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM t JOIN f USING (term) JOIN l USING (doc_id), c GROUP BY doc_id)
 SELECT doc_id, round(score, 6) AS score FROM x ORDER BY score DESC, doc_id LIMIT 20""")
 def search_bm25(spark, sf):
-    out = S.bm25(S.postings(english(spark, sf), "doc_id", "text"), "doc_id", ["thndor", "whtion", "hest"])
+    out = S.bm25(S.postings(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", ["thndor", "whtion", "hest"])
     return out.withColumn("score", F.round("score", 6))
