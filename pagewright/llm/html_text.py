@@ -181,7 +181,9 @@ def main_text(page: str | None, spread: float = 0.5, share: float = 0.8) -> str:
             container = container[:-1]
     kept = []
     for path, text, linked in found:
-        if path[: len(container)] == container and (path in content or linked < 0.5 * len(text)):
+        # within the article only lists and cells of links are menus
+        menu = linked >= 0.5 * len(text) and bool(path) and path[-1].split(".")[0].split("#")[0] in ("li", "tr", "ul", "ol", "table", "div", "section")
+        if path[: len(container)] == container and (path in content or not menu):
             kept.append(text)
     return "\n\n".join(kept)
 
