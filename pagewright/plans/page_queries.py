@@ -349,3 +349,42 @@ def duplicate_ids(spark, sf):
     n = F.row_number().over(Window.partitionBy("base").orderBy("o_orderkey"))
     o = table(spark, sf, "orders").select("o_orderkey", base.alias("base")).withColumn("n", n)
     return o.select("o_orderkey", F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise("")).alias("id"))
+
+
+UNREAD = f"""
+{RUNS}, u AS (SELECT k, pos, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE pos - count(*) FILTER (o_orderkey % 7 = 0 AND o_orderkey % 2 = 0) OVER (PARTITION BY k ORDER BY pos) END AS page FROM v),
+bt AS (SELECT k, pos, page, last_value(page IGNORE NULLS) OVER b AS bp, last_value(CASE WHEN page IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS bpos, first_value(page IGNORE NULLS) OVER a AS ap FROM u
+  WINDOW b AS (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY k ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"""
+
+
+def unread(spark, sf):
+    """Leaves without a number: every second of them stands outside the numbering."""
+    r = runs(spark, sf)
+    odd = F.count_if((F.col("o_orderkey") % 7 == 0) & (F.col("o_orderkey") % 2 == 0)).over(Window.partitionBy("k").orderBy("pos"))
+    return r.withColumn("n", odd).select("k", "pos", F.when(F.col("o_orderkey") % 7 != 0, F.col("pos") - F.col("n")).alias("page"))
+
+
+@query(f"WITH {UNREAD} SELECT k, pos, bp AS after FROM bt WHERE page IS NULL AND ap = bp + 1")
+def unread_inserts(spark, sf):
+    from ..operators.layout import inserts
+
+    return inserts(unread(spark, sf), "k", "pos", "page")
+
+
+@query(f"""
+WITH {UNREAD}, c AS (SELECT k, pos, bp, ap, count(*) OVER (PARTITION BY k, bpos) AS n, row_number() OVER (PARTITION BY k, bpos ORDER BY pos) AS j FROM bt WHERE page IS NULL AND bp IS NOT NULL AND ap IS NOT NULL)
+SELECT k, pos, bp + j AS page FROM c WHERE ap - bp - 1 = n""")
+def unread_fills(spark, sf):
+    from ..operators.layout import gap_fills
+
+    return gap_fills(unread(spark, sf), "k", "pos", "page")
+
+
+@query("""
+WITH x AS (SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = 'signup' OR event_type NOT IN ('signup', 'view', 'click') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events)
+SELECT user_id, event_id, first_value(CASE WHEN event_type = 'signup' THEN event_type END) OVER (PARTITION BY user_id, g ORDER BY event_id) AS carried FROM x""")
+def carried_labels(spark, sf):
+    from ..operators.layout import carried_label
+
+    e = table(spark, sf, "events").withColumn("label", F.when(F.col("event_type") == "signup", F.col("event_type")))
+    return carried_label(e, "user_id", "event_id", "label", F.col("event_type").isin("signup", "view", "click")).select("user_id", "event_id", "carried")
