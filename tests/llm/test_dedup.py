@@ -112,3 +112,29 @@ def test_line_dedup(spark, edits):
     got = line_dedup.dedup_lines(df.drop("n_removed"), min_chars=5, max_edits=edits)
     assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == brute_lines(rows, 5, edits)
     assert line_dedup.dedup_lines(df.drop("n_removed").limit(0)).count() == 0
+
+
+def test_links_that_no_pivot_sees(spark, monkeypatch):
+    # a chain: each text shares most with the next, little with those further on
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    monkeypatch.setattr(minhash_dedup, "GROUP", 2)
+    words_ = [f"c{k}" for k in range(400)]
+    rows = [(k, " ".join(words_[8 * k : 8 * k + 120])) for k in range(30)] + [(100 + k, " ".join(words_[8 * k : 8 * k + 121])) for k in range(0, 30, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash_dedup.near_duplicates(df, size=4, percent=80)
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()], key=str) == brute_components(rows, 4, 80)
+
+
+def test_blocks_see_the_same_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sigs = [rng.integers(0, 3, 256, dtype=np.uint32) for _ in range(4)]
+    nodes = [(k, k, 100 + k % 3, [k % 5, 10 + k % 2], sigs[k % 4].tobytes()) for k in range(24)]
+    whole = {frozenset(r[:2]) for r in minhash_dedup._near_in_cluster([(*n, n[0] % 3, 0, 0) for n in nodes], 80, 128)}
+    split = set()
+    for i in range(3):
+        for j in range(i, 3):
+            some = [(*n, n[0] % 3, i, j) for n in nodes if n[0] % 3 in (i, j)]
+            split |= {frozenset(r[:2]) for r in minhash_dedup._near_in_cluster(some, 80, 128)}
+    assert whole == split and whole
