@@ -38,12 +38,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     mark = None
     while True:
-        large = materialise(_large_star(current), name)
-        small = materialise(_small_star(large), name)
-        drop_table(spark, current)
-        drop_table(spark, large)
-        current, before, mark = small, mark, _mark(small)
-        if mark == before:
+        before, current = current, materialise(_small_star(_large_star(current)), name)
+        drop_table(spark, before)
+        last, mark = mark, _mark(current)
+        if mark == last:
             break
     roots = current.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

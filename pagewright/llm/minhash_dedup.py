@@ -3,18 +3,20 @@
 1. Each document becomes its set of word-shingle hashes and many universal-hash minima of it.
    Equal sets form one class, so exact copies never meet each other again.
 2. The minima are cut into bands; classes with an equal band share a bucket. In each bucket every
-   class is compared with one pivot: first by signature, then on the full shingle sets.
+   class is compared with one pivot, the class with most company in its buckets, which in a group
+   of near copies is close to their origin: first by signature, then on the full shingle sets.
 3. Alternating large-star and small-star give the components of the links found.
-4. Buckets whose classes still lie in several components get further pivots, and at last all pairs
-   across components, so links that a pivot doesn't see are not lost. Links within a component
-   cannot change the result and are not looked for.
+4. Buckets whose classes still lie in several components may hide links that the pivot doesn't
+   see. Their classes get longer signatures and are dealt into clusters that share buckets (large
+   ones in pairs of blocks); within a cluster, pairs across components of a bucket are compared by
+   signature, and only those that may reach the similarity become rows and are checked on the
+   full sets. Links within a component cannot change the result and are not looked for.
 
 Two sets that reach 0.8 miss all 32 bands of 4 rows with a probability below 5e-8.
 
 Defined results for odd input: a null or empty text has the empty set and is a component of its
-own; repeated rows fall into one component and keep their id's verdict; a null doc_id is never
-the least of its component unless all are null, and is not kept; an empty table gives an empty
-table. Shingles and sets are told apart by 64-bit hashes.
+own; repeated rows fall into one component and keep their id's verdict; null doc_ids come after all
+others, and where a component has no other they all stay; an empty table gives an empty table. Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,27 +29,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, table, text_or_empty
+from .common import broadcast_if_small, drop_table, materialise, table, text_or_empty
 from .components import components
 
 #: Words remembered per worker with their hashes.
-MEMORY_WORDS = 600_000
-#: Largest assignment table (nodes to verification groups) that is broadcast.
-BROADCAST_NODES = 500_000
+MEMORY_WORDS = 400_000
 #: Members of a verification group.
 GROUP = 256
-#: Pivot rounds before all cross-component pairs are tested, and the bound on those pairs that ends the rounds early.
-ROUNDS, EASY_PAIRS = 5, 50_000
+#: Minima of the longer signatures, and classes of a cluster that are compared in one task.
+LONG, BLOCK = 1024, 2048
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
 class WordHashes(dict):
     """word -> 8 bytes of its 64-bit hash, remembered up to a bound."""
 
+    def __init__(self, most: int = MEMORY_WORDS):
+        super().__init__()
+        self.most = most
+
     def __missing__(self, word: bytes) -> bytes:
         h = xxhash.xxh64_intdigest(word).to_bytes(8, "little")
         if len(word) <= 64:
-            if len(self) >= MEMORY_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = h
         return h
@@ -105,9 +109,9 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 n.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
                 sigs.append(signature(s, family).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "node", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, sig binary")
 
 
 def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -132,103 +136,190 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (4, 5))
             keep = pa.array((x == y).mean(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(4)], names=["a", "b", "ca", "cb"])
 
     left = classes.select(F.col("node").alias("a"), F.col("sig").alias("x"))
     right = classes.select(F.col("node").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "x", "y").mapInArrow(run, "a long, b long, ca long, cb long")
+
+
+def least_share(percent: int, minima: int) -> float:
+    """Sets at the similarity agree in fewer minima than this share with a probability below 1e-5."""
+    share = percent / 100
+    return share - 4.5 * (share * (1 - share) / minima) ** 0.5
+
+
+def _near_in_cluster(rows: list[tuple], percent: int, first: int) -> list[tuple[int, int, int, int]]:
+    """(a, b, component of a, of b) of pairs across components that share a bucket and agree by signature.
+
+    rows are (node, component, n, keys, signature, block, i, j); with i and j different, only pairs
+    of the two blocks are looked at.
+    """
+    component, n, block = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 5))
+    apart = rows[0][6] != rows[0][7]
+    buckets: dict[int, list[int]] = {}
+    for k, r in enumerate(rows):
+        for key in r[3]:
+            buckets.setdefault(key, []).append(k)
+    found = []
+    for members in buckets.values():
+        v = np.array(members)
+        c = component[v]
+        if len(v) < 2 or (c == c[0]).all():
+            continue
+        small, large = np.minimum(n[v][:, None], n[v][None, :]), np.maximum(n[v][:, None], n[v][None, :])
+        meet = np.triu((c[:, None] != c[None, :]) & (100 * small >= percent * large), 1)
+        if apart:
+            meet &= block[v][:, None] != block[v][None, :]
+        x, y = np.nonzero(meet)
+        found.append(v[x] * len(rows) + v[y])
+    if not found:
+        return []
+    pairs = np.unique(np.concatenate(found))
+    sigs = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), -1)
+    for minima in (first, sigs.shape[1]):
+        keep = []
+        for lo in range(0, len(pairs), 8192):
+            part = pairs[lo : lo + 8192]
+            same = (sigs[part // len(rows), :minima] == sigs[part % len(rows), :minima]).mean(axis=1)
+            keep.append(part[same >= least_share(percent, minima)])
+        pairs = np.concatenate(keep) if keep else pairs
+    return [(rows[x][0], rows[y][0], rows[x][1], rows[y][1]) for x, y in zip((pairs // len(rows)).tolist(), (pairs % len(rows)).tolist(), strict=True)]
+
+
+def _across(live: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, first: int) -> DataFrame:
+    """(a, b, ca, cb): pairs across components of the live buckets that agree by long signatures."""
+    least = live.groupBy("key").agg(F.min("node").alias("b"))
+    clusters = components(live.select("key", F.col("node").alias("a")).join(least, "key").select("a", "b").distinct(), "minhash-clusters").withColumnRenamed("component", "cluster")
+    nodes = live.groupBy("node").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.collect_list("key").alias("keys")).join(clusters, "node").join(classes.select("node", "rep"), "node")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    needed = materialise(nodes.join(sizes, "cluster"), "minhash-open")
+    joined = docs.join(broadcast_if_small(needed, "keys"), docs["doc_id"].eqNullSafe(needed["rep"])).select("text", "node", "component", "n", "keys", "cluster", "blocks")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family = hash_family(LONG)
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            right = pa.array([len(s) > 0 and node_of(s) == node for s, node in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+            sigs = pa.array([signature(s, family).tobytes() if ok else None for s, ok in zip(sets, right.to_pylist(), strict=True)], pa.binary())
+            out = pa.RecordBatch.from_arrays([*batch.columns[1:], sigs], names=[*batch.schema.names[1:], "sig"])
+            yield out.filter(right)
+
+    signed = joined.mapInArrow(sign, "node long, component long, n long, keys array<long>, cluster long, blocks int, sig binary")
+    block = F.pmod("node", "blocks").cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = signed.withColumn("block", block).withColumn("p", F.explode(others)).select("node", "component", "n", "keys", "sig", "block", "p.i", "p.j", "cluster").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            found = _near_in_cluster(held, percent, first)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(4)], names=["a", "b", "ca", "cb"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][6:] != row[6:]:
+                    yield flush()
+                    held = []
+                if held and held[-1][0] == row[0]:  # identical rows give a class twice
+                    continue
+                held.append(row)
+        if held:
+            yield flush()
+
+    return dealt.mapInArrow(compare, "a long, b long, ca long, cb long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, pivot b) whose full sets reach the similarity.
+    """The components (a, b) of pairs (a, pivot b) whose full sets reach the similarity.
 
     A pivot's members are dealt to groups of bounded size; the pivot's set goes to each of its
     groups and stands first there, so a task holds one set at a time.
     """
     counted = pairs.join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / GROUP)).cast("int"))
-    members = counted.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "part", F.lit(1).alias("role"))
-    pivots = counted.select(F.col("b").alias("node"), F.col("b").alias("pivot"), "part", F.lit(0).alias("role")).distinct()
-    targets = members.union(pivots).groupBy("node").agg(F.collect_list(F.struct("pivot", "part", "role")).alias("targets"))
+    counted = materialise(counted, "minhash-dealt")  # read twice
+    members = counted.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "part", F.lit(1).alias("role"), F.col("ca").alias("of"))
+    pivots = counted.select(F.col("b").alias("node"), F.col("b").alias("pivot"), "part", F.lit(0).alias("role"), F.col("cb").alias("of")).distinct()
+    targets = members.union(pivots).groupBy("node").agg(F.collect_list(F.struct("pivot", "part", "role", "of")).alias("targets"))
     needed = materialise(targets.join(classes.select("node", "rep"), "node"), "minhash-targets")
-    small = needed.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    texts = docs.join(F.broadcast(needed) if small else needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("text", "node", F.explode("targets").alias("t")).select("node", "t.pivot", "t.part", "t.role", "text")
+    texts = docs.join(broadcast_if_small(needed, "targets"), docs["doc_id"].eqNullSafe(needed["rep"])).select("text", "node", F.explode("targets").alias("t")).select("node", "t.pivot", "t.part", "t.role", "t.of", "text")
 
     dealt = texts.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mine = None, None
+        held, mine, root = None, None, None
         for batch in batches:
             a, b = [], []
-            columns = [batch.column(k).to_pylist() for k in range(4)]
-            for node, pivot, part, role, text in zip(*columns, batch.column(4).cast(pa.binary()).to_pylist(), strict=True):
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            for node, pivot, part, role, of, text in zip(*columns, batch.column(5).cast(pa.binary()).to_pylist(), strict=True):
                 s = shingles(text, size)
                 if node_of(s) != node:  # another row with the same doc_id
                     continue
                 if role == 0:
-                    held, mine = (pivot, part), s
+                    held, mine, root = (pivot, part), s, of
                 elif held == (pivot, part):
                     at = np.searchsorted(mine, s)
                     at[at == len(mine)] = 0
                     both = int((mine[at] == s).sum())
                     if 100 * both >= percent * (len(s) + len(mine) - both):
-                        a.append(node)
-                        b.append(pivot)
+                        a.append(of)
+                        b.append(root)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    """doc_id, n_shingles, component_id, text_hash, kept for every row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    signed = materialise(_signatures(docs, size, bands, rows), "minhash-signatures")
+    signed = materialise(_signatures(docs.withColumn("text_hash", F.xxhash64("text")), size, bands, rows), "minhash-signatures")
     classes = materialise(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "minhash-classes")
     shared = _buckets(classes, bands, rows)
     open_keys = shared.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     members = materialise(shared.join(open_keys, "key").withColumn("component", F.col("node")), "minhash-buckets")
-    # A pair at the similarity agrees in fewer rows than this with a probability below 1e-6.
-    share = percent / 100
-    least = share - 5 * (share * (1 - share) / (bands * rows)) ** 0.5
-    links, found = None, None
-    for turn in range(ROUNDS + 1):
-        apart = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).filter("c * c > s")
-        apart = materialise(apart.select("key", (F.col("c") * F.col("c") - F.col("s")).alias("pairs")), "minhash-open")
-        total = apart.agg(F.sum("pairs")).first()[0]
-        if total is None:
-            break
-        live = members.join(apart.select("key"), "key")
-        last = turn == ROUNDS or turn > 0 and total <= EASY_PAIRS
-        near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-        if last:
-            other = live.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
-            pairs = live.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("of")) & near)
-        else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")
-            pivot = live.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("of"))
-            pairs = live.join(pivot, "key").filter((F.col("node") != F.col("b")) & (F.col("component") != F.col("of")) & near)
-        pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
-        agreed = materialise(_agreeing(pairs, classes, least), "minhash-pairs")
-        new = materialise(_verified(agreed, docs, classes, size, percent), "minhash-links")
-        links = new if links is None else links.union(new)
-        found = materialise(components(links, "minhash-star"), "minhash-components")
-        if last:
-            break
-        before, members = members, materialise(members.drop("component").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "minhash-buckets")
-        drop_table(spark, before)
-    out = signed.select("doc_id", "n_shingles", "node")
-    if found is not None:
-        out = out.join(found, "node", "left").withColumn("node", F.coalesce("component", "node"))
+    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    company = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key").groupBy("node").agg(F.sum("c").alias("company"))
+    order = F.struct(-F.col("company"), "node", "n", "component")
+    pivot = members.join(company, "node").groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("cb"))
+    pairs = members.join(pivot, "key").filter((F.col("node") != F.col("b")) & near).select(F.col("node").alias("a"), "b", F.col("component").alias("ca"), "cb").distinct()
+    agreed = materialise(_agreeing(pairs, classes, least_share(percent, bands * rows)), "minhash-pairs")
+    labels = None  # node to component, of nodes that have links
+    if not agreed.isEmpty():
+        links = materialise(_verified(agreed, docs, classes, size, percent).distinct(), "minhash-links")
+        labels = materialise(components(links, "minhash-star"), "minhash-components")
+        now = members.drop("component").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        apart = now.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
+        live = materialise(now.join(apart, "key"), "minhash-live")
+        more = None
+        if not live.isEmpty():
+            more = materialise(_across(live, docs, classes, size, percent, bands * rows), "minhash-pairs")
+        if more is not None and not more.isEmpty():
+            new = materialise(_verified(more, docs, classes, size, percent).distinct(), "minhash-links")
+            moved = materialise(components(new, "minhash-star"), "minhash-components").select(F.col("node").alias("component"), F.col("component").alias("to"))
+            own = moved.select(F.col("component").alias("node"), F.col("to").alias("component")).join(labels.select("node"), "node", "left_anti")
+            labels = materialise(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(own), "minhash-labels")
+    out = signed.select("doc_id", "n_shingles", "text_hash", "node")
+    if labels is not None:
+        out = out.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
     ids = out.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("component_id"))
-    joined = out.filter("node is not null").join(ids, "node").select("doc_id", "n_shingles", "component_id")
-    empty = out.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.union(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    joined = out.filter("node is not null").join(ids, "node").select("doc_id", "n_shingles", "component_id", "text_hash")
+    empty = out.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
+    return joined.union(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the least id."""
+    kept = near_duplicates(docs, id_col, text_col, **how).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_kept_hash"))
+    return docs.join(kept, same, "left_semi")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP7_SQL = r"""
