@@ -68,3 +68,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_or_empty(column: str = "text"):
     """The column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def broadcast_if_small(df: DataFrame, lists: str, most: int = 1_000_000) -> DataFrame:
+    """df with a broadcast hint if its rows and the entries of its list column are few; else as it is.
+
+    An entry is a few numbers, so the bound is one of bytes (about 100 MB); beyond it the join
+    that follows is shuffled.
+    """
+    n, entries = df.agg(F.count(F.lit(1)), F.sum(F.size(lists))).first()
+    return F.broadcast(df) if max(n, entries or 0) <= most else df

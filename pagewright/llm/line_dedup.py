@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_or_empty
+from .common import broadcast_if_small, materialise, table, text_or_empty
 
 #: White space trimmed from lines.
 TRIM = " \t\x0b\x0c\r"
-#: Largest tables of keys or documents that are broadcast.
+#: Largest tables of keys (two or three numbers a row) that are broadcast.
 BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
 POSITION = ["d", "t", "line_no"]
@@ -121,7 +121,7 @@ def _texts(docs: DataFrame, places: DataFrame, min_chars: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["h", "d", "t", "line_no", "left", "right", "line"])
 
-    joined = docs.join(_small(wanted), ["d", "t"]).select("d", "t", "text", "lines")
+    joined = docs.join(broadcast_if_small(wanted, "lines"), ["d", "t"]).select("d", "t", "text", "lines")
     return joined.mapInArrow(run, "h long, d long, t long, line_no int, left boolean, right boolean, line string").dropDuplicates(["h"])
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, table, text_or_empty
+from .common import broadcast_if_small, drop_table, materialise, table, text_or_empty
 from .line_dedup import LAST
 from .suffix_array import suffix_array
 from .windows import Hashed, classes, mix
@@ -42,8 +42,6 @@ GRAM = 64
 BATCH_BYTES, ARRAY_BYTES = 4 << 20, 1 << 18
 #: Groups with more different members than this are counted by shuffled window hashes.
 HOT = 4096
-#: Largest table of documents to look at again that is broadcast.
-BROADCAST_ROWS = 300_000
 
 
 def _runs(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
@@ -85,8 +83,7 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
 def _contexts(docs: DataFrame, mixed: DataFrame, size: int) -> DataFrame:
     """(g, c, n, off, copies, members, bytes): the bytes of one occurrence of each class of mixed groups."""
     wanted = materialise(mixed.groupBy("d", "t").agg(F.collect_list(F.struct("g", "c", "n", "off", "copies", "members", "a")).alias("rows")), "repeat-wanted")
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = broadcast_if_small(wanted, "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
