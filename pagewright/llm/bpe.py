@@ -19,6 +19,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -119,6 +120,7 @@ class WordBpe:
             ranks[vocab[a] << 20 | vocab[b]] = r
             results.append(vocab[a + b])
         self.tree = PairTree(ranks, results)
+        self.most = MEMORY_CHUNKS
         self.pieces: dict[str, list[int]] = {}
         self.ids: dict[bytes, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
@@ -133,7 +135,7 @@ class WordBpe:
         """The ids of a short piece that many chunks share, such as a punctuation mark."""
         if (known := self.pieces.get(piece)) is None:
             known = self.piece(piece)
-            if len(self.pieces) < MEMORY_CHUNKS // 8:
+            if len(self.pieces) < self.most // 8:
                 self.pieces[piece] = known
         return known
 
@@ -152,7 +154,7 @@ class WordBpe:
         """Ids as little-endian 32-bit integers, and the decoded tokens with a space before each."""
         text = raw.decode("utf-8", "replace")
         ids: list[int] = []
-        if any(s in raw for s in self.special_bytes):
+        if b"<|" in raw and any(s in raw for s in self.special_bytes):
             at = 0
             for m in self.specials.finditer(text):
                 ids += self.plain(text[at : m.start()])
@@ -170,21 +172,20 @@ class WordBpe:
         """
         cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
         ids, decoded = self.ids, self.decoded
-        if len(ids) > MEMORY_CHUNKS:
+        if len(ids) > self.most:
             ids.clear()
             decoded.clear()
         long: list[bytes] = []
-        for chunks in cut:
-            for c in set(chunks).difference(ids):
-                if c[-1:] in b",." and (stem := c[:-1]) in ids and stem.isalpha():
-                    mark = c[-1:]
-                    if mark not in ids:
-                        ids[mark], decoded[mark] = self.chunk(mark)
-                    ids[c], decoded[c] = ids[stem] + ids[mark], decoded[stem] + decoded[mark]
-                    continue
-                ids[c], decoded[c] = self.chunk(c)
-                if len(c) > MEMORY_BYTES:
-                    long.append(c)
+        for c in set(chain.from_iterable(cut)).difference(ids):
+            if c[-1:] in b",." and (stem := c[:-1]) in ids and stem.isalpha():
+                mark = c[-1:]
+                if mark not in ids:
+                    ids[mark], decoded[mark] = self.chunk(mark)
+                ids[c], decoded[c] = ids[stem] + ids[mark], decoded[stem] + decoded[mark]
+                continue
+            ids[c], decoded[c] = self.chunk(c)
+            if len(c) > MEMORY_BYTES:
+                long.append(c)
         out = [(b"".join(map(ids.__getitem__, chunks)), b"".join(map(decoded.__getitem__, chunks))[1:]) for chunks in cut]
         for c in long:
             ids.pop(c, None)
@@ -222,12 +223,13 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, memory_chunks: int = MEMORY_CHUNKS) -> DataFrame:
     """doc_id, n_tokens, digests and, unless digests_only, the ids (binary) and the decoded text."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ("" if digests_only else ", ids binary, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = load(vocab_path), hashlib.sha256
+        bpe.most = memory_chunks
         for batch in batches:
             rows = [r for part in parts(batch.column(1).cast(pa.binary()).to_pylist()) for r in bpe.encode_texts(part)]
             columns = [batch.column(0), pa.array([len(i) // 4 for i, _ in rows], pa.int64()), pa.array([sha(i).hexdigest() for i, _ in rows], pa.string()), pa.array([sha(d).hexdigest() for _, d in rows], pa.string())]
