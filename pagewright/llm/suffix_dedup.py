@@ -39,7 +39,7 @@ from .windows import Hashed, classes, mix
 
 GRAM = 64
 #: Bytes of text handled at a time, and bytes of remainders per suffix array, about.
-BATCH_BYTES, ARRAY_BYTES = 4 << 20, 1 << 18
+BATCH_BYTES, ARRAY_BYTES = 1 << 20, 1 << 18
 #: Groups with more different members than this are counted by shuffled window hashes.
 HOT = 4096
 
