@@ -3,8 +3,8 @@
 A page is read into blocks, each with its root-to-leaf path of block elements. Per path, text
 length and punctuation are aggregated over its blocks (the path ratios); the ratios are smoothed
 over the blocks in page order, fused into one score, and paths whose score reaches a threshold
-of the page's spread are content paths. The deepest container that holds nearly all content text
-then gives the article: all its blocks, short ones and headings too, without the parts that
+of the page's spread are content paths. The article or main element around all content paths, else
+the deepest container that covers them, then gives the article: all its blocks, short ones and headings too, without the parts that
 HTML itself marks as something else (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments).
 
@@ -43,6 +43,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
 #: An end tag or implied end does not reach beyond these.
 FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "p": ("table", "button")}
 MAIN = ("article", "main")
+#: Elements that are parts of an article, not containers of one.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre tr ul ol dl dt dd table thead tbody tfoot".split())
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.S)
@@ -154,12 +156,28 @@ def path_scores(found: list[tuple[tuple[str, ...], str, int]], radius: int = 1)
     return score
 
 
-def main_text(page: str | None, spread: float = 0.5, share: float = 0.8) -> str:
+def _tag(label: str) -> str:
+    return label.split("@")[0].split(".")[0].split("#")[0]
+
+
+def _article(content: set[tuple[str, ...]]) -> tuple[str, ...]:
+    """The article or main element around all content paths, else the deepest container that covers them."""
+    lo, hi = min(content), max(content)  # what these share, all between share
+    common = lo[: next((k for k, (x, y) in enumerate(zip(lo, hi)) if x != y), min(len(lo), len(hi)))]
+    for k, label in enumerate(common):
+        if _tag(label) in MAIN:
+            return common[: k + 1]
+    while common and _tag(common[-1]) in LEAVES:
+        common = common[:-1]
+    return common
+
+
+def main_text(page: str | None, spread: float = 0.5) -> str:
     """The article of a page: its blocks in page order, joined by blank lines."""
     found = blocks(page or "")
     if not found:
         return ""
-    inside = [b for b in found if any(x.split("@")[0].split(".")[0].split("#")[0] in MAIN for x in b[0])]
+    inside = [b for b in found if any(_tag(x) in MAIN for x in b[0])]
     if sum(len(t) - k for _, t, k in inside) > 0:
         found = inside
     scores = path_scores(found)
@@ -169,20 +187,11 @@ def main_text(page: str | None, spread: float = 0.5, share: float = 0.8) -> str:
     content = {p for p, s in scores.items() if s > 0 and s >= limit}
     if not content:
         return ""
-    weight = defaultdict(int)
-    for path, text, linked in found:
-        if path in content:
-            for k in range(len(path) + 1):
-                weight[path[:k]] += len(text) - linked
-    container = max((p for p in weight if weight[p] >= share * weight[()]), key=len)
-    if container in content and len(container) and container[-1].split(".")[0].split("#")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "tr"):
-        container = container[:-1]
-        if container and container[-1].split(".")[0] in ("ul", "ol", "table", "tbody"):
-            container = container[:-1]
+    container = _article(content)
     kept = []
     for path, text, linked in found:
         # within the article only lists and cells of links are menus
-        menu = linked >= 0.5 * len(text) and bool(path) and path[-1].split(".")[0].split("#")[0] in ("li", "tr", "ul", "ol", "table", "div", "section")
+        menu = linked >= 0.5 * len(text) and bool(path) and _tag(path[-1]) in ("li", "tr", "ul", "ol", "table", "div", "section")
         if path[: len(container)] == container and (path in content or not menu):
             kept.append(text)
     return "\n\n".join(kept)

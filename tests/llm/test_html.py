@@ -23,6 +23,16 @@ def test_without_article_element():
     assert main_text(f"<p>{PROSE}") == PROSE
 
 
+def test_nested_body_and_heading_outside_it():
+    body = "".join(f"<p>{PROSE}</p>" for _ in range(8))
+    want = "\n\n".join(["Title", "Intro", *[PROSE] * 8])
+    assert main_text(page(f"<article><header><h1>Title</h1><p>Intro</p></header><div class='body'>{body}</div></article>")) == want
+    assert main_text(page(f"<main><h1>Title</h1><article><p>Intro</p><div class='body'>{body}</div></article></main>")) == want
+    lead = f"A lead of its own: {PROSE}"
+    html = page(f"<div id='menu'><a href='a'>One</a></div><div class='story'><p>{lead}</p><div class='more'>{body}</div></div><div class='note'>Imprint</div>")
+    assert main_text(html) == "\n\n".join([lead, *[PROSE] * 8])
+
+
 def test_broken_and_empty():
     for h in (None, "", "   ", "<html></html>", "<nav><a>x</a></nav>", "<script>while(1){}", "<!-- only a comment", "<p></p>"):
         assert main_text(h) == ""
