@@ -4,7 +4,8 @@ A page is read into blocks, each with its root-to-leaf path of block elements. P
 length and punctuation are aggregated over its blocks (the path ratios); the ratios are smoothed
 over the blocks in page order, fused into one score, and paths whose score reaches a threshold
 of the page's spread are content paths. The article or main element around all content paths, else
-the deepest container that covers them, then gives the article: all its blocks, short ones and headings too, without the parts that
+the deepest container that covers them, then gives the article (blocks outside article and main
+count only where these hold no more than half of the content text): all its blocks, short ones and headings too, without the parts that
 HTML itself marks as something else (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments).
 
@@ -172,19 +173,30 @@ def _article(content: set[tuple[str, ...]]) -> tuple[str, ...]:
     return common
 
 
+def _content(found: list[tuple[tuple[str, ...], str, int]], spread: float) -> set[tuple[str, ...]]:
+    """The paths whose score reaches a threshold of the spread."""
+    scores = path_scores(found)
+    mean = sum(scores.values()) / len(scores)
+    sigma = (sum((s - mean) ** 2 for s in scores.values()) / len(scores)) ** 0.5
+    limit = min(spread * sigma, max(scores.values()))
+    return {p for p, s in scores.items() if s > 0 and s >= limit}
+
+
+def _weight(found: list[tuple[tuple[str, ...], str, int]], content: set[tuple[str, ...]]) -> int:
+    """Characters outside links on content paths."""
+    return sum(len(text) - linked for path, text, linked in found if path in content)
+
+
 def main_text(page: str | None, spread: float = 0.5) -> str:
     """The article of a page: its blocks in page order, joined by blank lines."""
     found = blocks(page or "")
     if not found:
         return ""
+    content = _content(found, spread)
     inside = [b for b in found if any(_tag(x) in MAIN for x in b[0])]
-    if sum(len(t) - k for _, t, k in inside) > 0:
+    if len(inside) < len(found) and 2 * _weight(inside, content) > _weight(found, content):
         found = inside
-    scores = path_scores(found)
-    mean = sum(scores.values()) / len(scores)
-    sigma = (sum((s - mean) ** 2 for s in scores.values()) / len(scores)) ** 0.5
-    limit = min(spread * sigma, max(scores.values()))
-    content = {p for p, s in scores.items() if s > 0 and s >= limit}
+        content = _content(found, spread)
     if not content:
         return ""
     container = _article(content)

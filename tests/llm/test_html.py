@@ -33,6 +33,14 @@ def test_nested_body_and_heading_outside_it():
     assert main_text(html) == "\n\n".join([lead, *[PROSE] * 8])
 
 
+def test_short_article_beside_the_story():
+    body = "".join(f"<p>{PROSE}</p>" for _ in range(8))
+    html = page(f"<div class='story'><h1>Title</h1>{body}</div><article class='card'><p>A short one.</p></article>")
+    assert main_text(html) == "\n\n".join(["Title", *[PROSE] * 8])
+    html = page(f"<div class='note'><p>{PROSE}</p></div><article><h1>Title</h1>{body}</article>")
+    assert main_text(html) == "\n\n".join(["Title", *[PROSE] * 8])
+
+
 def test_broken_and_empty():
     for h in (None, "", "   ", "<html></html>", "<nav><a>x</a></nav>", "<script>while(1){}", "<!-- only a comment", "<p></p>"):
         assert main_text(h) == ""
