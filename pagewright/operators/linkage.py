@@ -56,21 +56,38 @@ def jaccard_best(left: DataFrame, right: DataFrame, block: str, lkey: str, rkey:
     return scored.withColumn("_r", best).filter("_r = 1").select(lkey, rkey, "score")
 
 
-def fuzzy_page_join(entries: DataFrame, pages: DataFrame, entry: str, page: str, word_len: int = 5, least: float = 0.75) -> DataFrame:
-    """(entry, page, seq): index entries met on their page by a paragraph with a word close to one of theirs.
+#: Largest number of words of entries that is broadcast.
+BROADCAST_WORDS = 200_000
 
-    entries has (entry, page, words), pages (page, seq, words). Words are compared once per
-    distinct pair, after a bound by length.
+
+def _letters(word: str) -> Column:
+    """Characters by code point modulo 31, two bits each: one seen, two or more seen."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(c) % 31 * 2).cast("int"))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.when(m.bitwiseAND(bit(c)) == 0, bit(c)).otherwise(bit(c) * 2)))
+
+
+def fuzzy_page_join(entries: DataFrame, pages: DataFrame, entry: str, page: str, word_len: int = 4, least: float = 0.75) -> DataFrame:
+    """(entry, page, seq): index entries met on their page by the first paragraph with a word close to one of theirs.
+
+    entries has (entry, page, words), pages (page, seq, words). Each word of a page stands for its
+    first paragraph. Words of a page meet if their lengths and letter counts allow the ratio (an
+    upper bound, so no close pair is lost) and are compared once per distinct pair.
     """
-    from ..functions.similarity import ratio, ratio_bound
+    from ..functions.similarity import ratio
 
-    a = entries.select(entry, page, F.explode("words").alias("a")).filter(F.length("a") >= word_len)
+    named = entries.select(entry, page, F.explode("words").alias("a")).filter(F.length("a") >= word_len)
+    a = named.select(page, "a").distinct().select("*", F.length("a").alias("_la"), _letters("a").alias("_ma"))
+    if a.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        a = F.broadcast(a)
     b = pages.select(page, "seq", F.explode("words").alias("b")).filter(F.length("b") >= word_len)
-    met = a.join(b, page)
-    pairs = met.select("a", "b").distinct().filter(ratio_bound(F.col("a"), F.col("b")) >= least)
-    close = pairs.withColumn("r", ratio("a", "b")).filter(F.col("r") >= least).select("a", "b")
-    hit = met.join(close, ["a", "b"])
-    return hit.groupBy(entry, page).agg(F.min("seq").alias("seq"))
+    b = b.groupBy(page, "b").agg(F.min("seq").alias("seq")).select("*", F.length("b").alias("_lb"), _letters("b").alias("_mb"))
+    lone = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y)))
+    most = F.least(F.col("_la") - lone("_ma", "_mb"), F.col("_lb") - lone("_mb", "_ma"))
+    met = b.join(a, page).filter(2 * most >= least * (F.col("_la") + F.col("_lb"))).select(page, "seq", "a", "b")
+    pairs = met.select("a", "b").distinct()
+    close = pairs.withColumn("r", ratio("b", "a")).filter(F.col("r") >= least).select("a", "b")
+    hit = met.join(close, ["a", "b"]).groupBy(page, "a").agg(F.min("seq").alias("seq"))
+    return named.join(hit, [page, "a"]).groupBy(entry, page).agg(F.min("seq").alias("seq"))
 
 
 def index_edits(entries: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:

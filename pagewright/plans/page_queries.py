@@ -189,12 +189,12 @@ def jaccard_match(spark, sf):
 
 @query()
 def fuzzy_page_join(spark, sf):
-    """Longest-block similarity has no SQL; tested on written cases. Short lines are the paragraphs of a page."""
-    words = lambda c: F.array_distinct(F.split(F.regexp_replace(c, r"[.,]", ""), " "))
+    """Longest-block similarity has no SQL; tested against brute force. Short lines and headings are the paragraphs of a page."""
+    words = lambda c: F.array_distinct(F.split(F.regexp_replace(F.lower(c), r"[.,]", ""), " "))
     b = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 20).cast("string").alias("page"), words("text").alias("words"))
-    short = lines(spark, sf).filter(F.length("line") < 100)
+    short = lines(spark, sf).filter(F.length("line") < F.when(T.headlike(F.col("line")), 160).otherwise(110))
     d = short.select(F.regexp_extract("source", "[0-9]+", 0).alias("page"), F.struct("doc_id", "line_no").alias("seq"), words("line").alias("words"))
-    return L.fuzzy_page_join(b, d, "item_id", "page", word_len=8).select("item_id", "page", "seq.doc_id", "seq.line_no")
+    return L.fuzzy_page_join(b, d, "item_id", "page").select("item_id", "page", "seq.doc_id", "seq.line_no")
 
 
 @query("""

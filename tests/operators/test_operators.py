@@ -1,9 +1,12 @@
+import difflib
+import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import discourse, linkage, network, pages, search, tables
+from pagewright.plans import registry
 
 
 def test_page_consensus_as_the_loop(spark):
@@ -112,6 +115,31 @@ def test_fuzzy_join_and_linkage(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(2, "Letter of X"), (3, "Plain")] and [r.prefix for r in unused.collect()] == ["Nothing here"]
 
 
+def test_fuzzy_join_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé😀") for _ in range(rng.randrange(2, 9)))
+    entries = [(k, k % 3, [word() for _ in range(rng.randrange(3))]) for k in range(60)]
+    pages = [(k % 3, k, [word() for _ in range(rng.randrange(4))]) for k in range(90)]
+    close = lambda x, y: len(x) >= 4 and len(y) >= 4 and difflib.SequenceMatcher(None, y, x).ratio() >= 0.75
+    want = []
+    for e, p, own in entries:
+        seqs = [s for q, s, theirs in pages if q == p and any(close(x, y) for x in own for y in theirs)]
+        want += [(e, p, min(seqs))] if seqs else []
+    e = spark.createDataFrame(entries, "entry int, page int, words array<string>")
+    p = spark.createDataFrame(pages, "page int, seq int, words array<string>")
+    assert sorted(tuple(r) for r in linkage.fuzzy_page_join(e, p, "entry", "page").collect()) == want and 10 < len(want) < 60
+
+
+def test_fuzzy_query_against_brute_force(spark, tmp_path):
+    long = "rome " + "x " * 50  # 105 characters
+    docs = [(1, "src1", "en", "Nothing here\nTHE " + "A " * 60 + "GENOA\n" + "the " + "a " * 60 + "milan"), (2, "src1", "en", long), (3, "src2", "en", "pisa\nPISE")]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, "Genoa"), (21, "Rome."), (41, "Milan"), (2, "Pise"), (22, "of it")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.QUERIES["fuzzy_page_join"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "1", 1, 1), (2, "2", 3, 0), (21, "1", 2, 0)]
+
+
 def test_repair(spark):
     ref = spark.createDataFrame([("them", 6.0), ("fact", 5.0), ("lancy", 1.0)], "term string, zipf double")
     toks = spark.createDataFrame([("thern",), ("fadl",), ("thern",), ("keep",), ("eye",)], "w string")
