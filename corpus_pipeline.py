@@ -14,8 +14,8 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def line_stage(spark, docs, sf_dir):
-    """Lines within one edit of an earlier line go; n_chars follows the text. No document goes."""
-    return line_dedup.dedup_lines(docs, length_col="n_chars").select(*docs.columns)
+    """Lines within one edit of an earlier line go, short ones (not blank) if equal to one; n_chars follows the text. No document goes."""
+    return line_dedup.dedup_lines(docs, length_col="n_chars", exact_chars=1).select(*docs.columns)
 
 
 def near_stage(spark, docs, sf_dir):

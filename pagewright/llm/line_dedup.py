@@ -3,7 +3,8 @@
 A line (trimmed, at least ``min_chars`` code points) is removed if an earlier line of the corpus
 lies within the edit bound, in code points: it equals it (bound 0) or differs by one insertion,
 deletion or substitution (bound 1). Earlier means smaller (doc_id, text hash, line number); it
-does not matter whether the earlier line is removed itself. Shorter lines always stay.
+does not matter whether the earlier line is removed itself. Of shorter lines, those of at least
+``exact_chars`` code points go if they equal an earlier line (none go unless it is given).
 
 1. Equal lines are reduced to their first place by hash.
 2. Two lines one edit apart have equal halves on one side of the edit. Lines that share no half
@@ -92,17 +93,17 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _occurrences(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
+def _occurrences(docs: DataFrame, min_chars: int, max_edits: int, exact_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t, no, h, keys = [], [], [], [], []
             for doc, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, line in lines_of(text, min_chars):
+                for k, line in lines_of(text, exact_chars):
                     d.append(doc)
                     t.append(th)
                     no.append(k)
                     h.append(_hash("L", line))
-                    keys.append(half_keys(line) if max_edits else [])
+                    keys.append(half_keys(line) if max_edits and len(line) >= min_chars else [])
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(no, pa.int32()), pa.array(h, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["d", "t", "line_no", "h", "keys"])
 
     return docs.select("d", "t", "text").mapInArrow(run, "d long, t long, line_no int, h long, keys array<long>")
@@ -160,11 +161,11 @@ def _later_of_pairs(firsts: DataFrame, occurrences: DataFrame, docs: DataFrame,
     return pairs.join(one, "h").join(two, "g").filter(F.levenshtein("x", "y", 1) == 1).select("h").distinct()
 
 
-def kept_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1) -> DataFrame:
+def kept_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1, exact_chars: int | None = None) -> DataFrame:
     """(d, t, kept_lines): numbers of the lines that stay, per document with lines that take part."""
     if max_edits not in (0, 1):
         raise ValueError("the edit bound is 0 or 1")
-    occurrences = materialise(_occurrences(docs, min_chars, max_edits), "line-occurrences")
+    occurrences = materialise(_occurrences(docs, min_chars, max_edits, min_chars if exact_chars is None else min(exact_chars, min_chars)), "line-occurrences")
     firsts = occurrences.groupBy("h").agg(F.min(F.struct(*POSITION)).alias("p")).select("h", "p.*")
     kept = firsts
     if max_edits:
@@ -174,7 +175,7 @@ def kept_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1) -> Data
     return kept.groupBy("d", "t").agg(F.collect_list("line_no").alias("kept_lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_edits: int = 1, length_col: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_edits: int = 1, length_col: str | None = None, exact_chars: int | None = None) -> DataFrame:
     """docs with the removed lines cut from the text, n_lines and n_removed; length_col is brought up to date."""
     names = docs.columns
     text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
@@ -183,11 +184,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(text_or_empty(text_col)).alias("t"),
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"),
     )
-    kept = kept_lines(keyed.select("d", "t", text.alias("text")), min_chars, max_edits)
+    kept = kept_lines(keyed.select("d", "t", text.alias("text")), min_chars, max_edits, exact_chars)
+    least = min_chars if exact_chars is None else min(exact_chars, min_chars)
 
     @F.udf("struct<text:string,n_lines:long,n_removed:long>", useArrow=True)
     def cut(text, lines):
-        stay, all_lines, eligible = set(lines or ()), text.split("\n"), dict(lines_of(text, min_chars))
+        stay, all_lines, eligible = set(lines or ()), text.split("\n"), dict(lines_of(text, least))
         out = [x for k, x in enumerate(all_lines) if k not in eligible or k in stay]
         return "\n".join(out), len(all_lines), len(all_lines) - len(out)
 

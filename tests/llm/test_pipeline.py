@@ -29,6 +29,15 @@ def test_stages_and_run(spark):
         assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(encoder.decode(ids).encode()).hexdigest()
 
 
+def test_line_stage_removes_short_repeats(spark):
+    long = "a line of more than twenty characters"
+    texts = ["Short.\n\nOther\n" + long, " Short.\r\n\nShort!\n" + long + "s\nOther", "Other", None]
+    docs = spark.createDataFrame([(k, t, "en", "src1", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_stage(spark, docs, SF).collect()}
+    want = ["Short.\n\nOther\n" + long, "\nShort!", "", ""]
+    assert got == {k: (t, len(t)) for k, t in enumerate(want)}
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
