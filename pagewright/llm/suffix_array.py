@@ -14,22 +14,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
 
 def suffix_array(symbols: Sequence[int]) -> list[int]:
     """The start places of the suffixes of an integer sequence in ascending order."""
     n = len(symbols)
     if n == 0:
         return []
-    sa = sorted(range(n), key=symbols.__getitem__)  # places by group, in text order within a group
-    place, start, size = [0] * n, [0] * n, [0] * n
-    first = 0
-    for k, s in enumerate(sa):
-        place[s] = k
-        if symbols[s] != symbols[sa[first]]:
-            first = k
-        start[s] = first
-        size[first] += 1
-    previous = _group(sa, place, start, size)
+    # places by group, in text order within a group
+    values = np.asarray(symbols)
+    order = np.argsort(values, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(values[order]) != 0]))
+    place, start, size = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
+    place[order] = np.arange(n)
+    size[first] = np.diff(np.concatenate([first, [n]]))
+    start[order] = np.repeat(first, size[first])
+    start = start.tolist()
+    previous = _group(order.tolist(), place.tolist(), start, size.tolist())
     return _emit(n, start, previous)
 
 
@@ -40,9 +42,26 @@ def _group(sa: list[int], place: list[int], start: list[int], size: list[int]) -
     end = n
     while end > 0:
         group = start[sa[end - 1]]
+        if end - group == 1:  # the common case, a group of one, without counting
+            s = sa[group]
+            end = group
+            p = s - 1
+            while p >= 0 and start[p] > group:
+                p = previous[p]
+            previous[s] = p
+            if p >= 0:
+                g = start[p]
+                m = size[g]
+                if m > 1:
+                    at, to = place[p], g + m - 1
+                    if at != to:
+                        other = sa[to]
+                        sa[at], place[other] = other, at
+                        sa[to], place[p] = p, to
+                    size[g], size[to], start[p] = m - 1, 1, to
+            continue
         counts: dict[int, int] = {}
-        members = sa[group:end] if end - group == 1 else sorted(sa[group:end])
-        for s in members:
+        for s in sorted(sa[group:end]):
             p = s - 1
             while p >= 0 and start[p] > group:
                 p = previous[p]
@@ -50,31 +69,32 @@ def _group(sa: list[int], place: list[int], start: list[int], size: list[int]) -
                 p = previous[p]
             previous[s] = p
             if p >= 0:
-                counts[p] = counts.get(p, 0) + 1
+                if p in counts:
+                    counts[p] += 1
+                else:
+                    counts[p] = 1
         end = group
         if not counts:
             continue
-        if len(counts) == 1:
-            levels = [list(counts)]
+        # those followed by more copies of the prefix are moved first, so they end up further to the end
+        if max(counts.values()) == min(counts.values()):
+            levels = [counts]
         else:
-            most = max(counts.values())
-            if most == 1:
-                levels = [list(counts)]
-            else:
-                by: dict[int, list[int]] = {}
-                for p, c in counts.items():
-                    by.setdefault(c, []).append(p)
-                levels = [by[c] for c in sorted(by, reverse=True)]
+            by: dict[int, list[int]] = {}
+            for p, c in counts.items():
+                by.setdefault(c, []).append(p)
+            levels = [by[c] for c in sorted(by, reverse=True)]
         for level in levels:
             moved: dict[int, int] = {}
             for p in level:
                 g = start[p]
-                m = moved.get(g, 0) + 1
+                m = moved[g] + 1 if g in moved else 1
                 moved[g] = m
                 at, to = place[p], g + size[g] - m
-                other = sa[to]
-                sa[at], place[other] = other, at
-                sa[to], place[p] = p, to
+                if at != to:
+                    other = sa[to]
+                    sa[at], place[other] = other, at
+                    sa[to], place[p] = p, to
             for g, m in moved.items():
                 if m == size[g]:
                     continue

@@ -1,4 +1,7 @@
-"""Hashes of byte windows and their minimiser classes, for whole batches of texts at once."""
+"""Hashes of windows of symbols and their minimiser classes, for whole batches of texts at once.
+
+Symbols are bytes (unsigned 8-bit) or word hashes (unsigned 64-bit).
+"""
 
 from __future__ import annotations
 
@@ -29,12 +32,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashed:
-    """Prefix hashes of a byte array: hashes of any ranges of it."""
+    """Prefix hashes of an array of symbols: hashes of any ranges of it."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = _power(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_table[data] * up[:-1], out=self.sums[1:])
+        np.cumsum((_table[data] if data.dtype == np.uint8 else data | np.uint64(1)) * up[:-1], out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Unmixed hashes of the ranges [start, end)."""
@@ -63,12 +66,15 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 def classes(data: np.ndarray, ends: np.ndarray, size: int = 400, gram: int = 64) -> dict[str, np.ndarray]:
     """Runs of windows of each text that share their minimiser.
 
-    data holds the texts one after the other, ends where each ends. A run has its text, first
+    data holds the texts one after the other (2^28 symbols at most, as places are packed in 28
+    bits), ends where each ends. A run has its text, first
     window ``a``, number of windows ``n``, distance ``off`` of the minimiser from ``a``, the
     minimiser's hash ``g``, and the hash ``c`` of all bytes its windows cover (with off).
     Which gram is the least of a window depends on the window's bytes alone, so equal windows
     have equal minimisers at equal distance.
     """
+    if len(data) > 1 << 28:
+        raise ValueError("a batch holds 2^28 symbols at most")
     starts = np.concatenate([[0], ends[:-1]])
     hashed = Hashed(data)
     grams = hashed.windows(gram)
