@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +14,15 @@ WORD_SPACE = "\\x20\\x09-\\x0D"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        import tempfile
+    """The folder all executors share: spark.checkpoint.dir.
 
+    Where it is unset, a session whose executors are threads of this machine gets a folder of its
+    own; on a cluster no folder of one machine would do, so that is an error.
+    """
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_dir:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
@@ -51,6 +55,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now: it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a scratch table that no later step reads."""
     jvm = spark.sparkContext._jvm
