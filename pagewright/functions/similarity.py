@@ -7,7 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 @F.pandas_udf(DoubleType())
@@ -44,6 +44,35 @@ def ratio_above(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def best_ratio(a: pd.Series, others: pd.Series) -> pd.Series:
+    """The largest ``ratio`` with a string of an array; null if there is none."""
+    out = []
+    for x, ys in zip(a, others, strict=True):
+        best = None
+        for y in ys if x is not None and ys is not None else ():
+            if y is not None:
+                m = difflib.SequenceMatcher(None, x, y, autojunk=False)
+                if best is None or m.real_quick_ratio() > best and m.quick_ratio() > best:
+                    best = max(best or 0.0, m.ratio())
+        out.append(best)
+    return pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def ratios(a: pd.Series, others: pd.Series) -> pd.Series:
+    """The ``ratio`` with each string of an array; null where either is."""
+    one = lambda x, y: None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+    return pd.Series([None if ys is None else [one(x, y) for y in ys] for x, ys in zip(a, others, strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def matched_letters(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The characters of a that the longest common blocks match in b; null if either is."""
+    blocks = lambda x, y: sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+    return pd.Series([None if x is None or y is None else float(blocks(x, y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def ratio_bound(a: Column, b: Column) -> Column:
     """An upper bound of ``ratio`` by lengths alone, to spare Python the hopeless pairs."""
     return F.try_divide(2.0 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b))

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import html.entities
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with accents and their bases (Spark has no Unicode normalisation); fixed values.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _accents() -> tuple[str, str]:
+    """Latin letters with their base letters, and combining marks without any: what translate() takes."""
+    letters = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(code))
+        if len(base) > 1 and base[0].isascii():
+            letters[chr(code)] = base[0]
+    return "".join(letters) + "".join(map(chr, range(0x300, 0x370))), "".join(letters.values())
+
+
+#: Spark has no Unicode normalisation, so the pairs are drawn up here by rule.
+ACCENTED, PLAIN = _accents()
 
 #: Abbreviations that do not end a sentence; fixed values.
 ABBREVIATION = r"(^|[^A-Za-z0-9_])([A-Z]|Fr|Br|Mr|Mrs|Rev|St|Dr|Very|Ven|Bl|Co|No|Vol|p|pp)[.]$"
@@ -23,7 +38,7 @@ def clean_line(s: Column) -> Column:
 
 
 def fold(s: Column) -> Column:
-    """Accents dropped."""
+    """Accents of Latin letters dropped, set with their letter or after it."""
     return F.translate(s, ACCENTED, PLAIN)
 
 
@@ -122,6 +137,13 @@ def sentence_pieces(s: Column) -> Column:
     return F.split(F.regexp_replace(s, r"([.!?])[ \t\n\r\f\x0b]+([A-Z\"'(])", "$1" + CUT + "$2"), CUT)
 
 
+def sentences(s: Column) -> Column:
+    """An array of sentences: pieces are joined on while the one before ends in an abbreviation."""
+    pieces = sentence_pieces(s)
+    cut = F.transform(pieces, lambda x, i: F.concat(F.when(i == 0, "").when(ends_in_abbreviation(F.get(pieces, i - 1)), " ").otherwise(CUT), x))
+    return F.split(F.array_join(cut, ""), CUT)
+
+
 def ends_in_abbreviation(s: Column) -> Column:
     return s.rlike(ABBREVIATION)
 
@@ -176,16 +198,28 @@ def display_date(s: Column) -> Column:
 
 
 def highlight(s: Column, words: list[str]) -> Column:
-    """Marks words that begin with a query word."""
-    return F.regexp_replace(s, r"(?iu)\b((?:" + "|".join(words) + r")[\p{L}\p{M}]*)", "<mark>$1</mark>")
+    """Marks words that begin with a query word, which stands for itself, not for a pattern."""
+    alternatives = "|".join(re.escape(w) for w in words)
+    return F.regexp_replace(s, r"(?iu)\b((?:" + alternatives + r")[\p{L}\p{M}]*)", "<mark>$1</mark>")
+
+
+def unescape(s: Column) -> Column:
+    """Character references decoded, named ones by the standard's list; unknown ones stay."""
+    names = F.create_map(*(F.lit(x) for name, code in sorted(html.entities.name2codepoint.items()) for x in (name, chr(code))), F.lit("apos"), F.lit("'"))
+    number = lambda digits, base: F.decode(F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0")), "UTF-32")
+
+    def piece(x: Column) -> Column:
+        name = F.regexp_extract(x, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        read = F.when(name.rlike("^#[0-9]"), number(F.substring(name, 2, 9), 10)).when(name.rlike("^#[xX]"), number(F.substring(name, 3, 9), 16)).otherwise(names[name])
+        return F.when((name != "") & read.isNotNull(), F.concat(read, F.substring(x, F.length(name) + 2, F.length(x)))).otherwise(F.concat(F.lit("&"), x))
+
+    pieces = F.split(s, "&")
+    return F.when(F.contains(s, F.lit("&")), F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), piece), ""))).otherwise(s)
 
 
 def strip_tags(s: Column) -> Column:
-    """Markup dropped, the five basic references decoded."""
-    s = F.regexp_replace(s, "<[^>]+>", "")
-    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(name), F.lit(c))
-    return s
+    """Markup dropped, then character references decoded."""
+    return unescape(F.regexp_replace(s, "<[^>]+>", ""))
 
 
 def stem_name(s: Column) -> Column:

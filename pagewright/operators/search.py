@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +13,8 @@ from ..functions.text import fold
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, form, term): words with their places; terms are folded and in lower case."""
-    words = F.filter(F.split(text, r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
-    placed = docs.select(key, F.posexplode(words).alias("pos", "form"))
-    return placed.withColumn("term", F.regexp_replace(F.lower(fold(F.col("form"))), "[^a-z0-9']", ""))
+    placed = docs.select(key, F.posexplode(_forms(F.col(text))).alias("pos", "form"))
+    return placed.withColumn("term", _term(F.col("form")))
 
 
 def phrase(words: DataFrame, key: str, terms: list[str]) -> DataFrame:
@@ -25,25 +27,44 @@ def phrase(words: DataFrame, key: str, terms: list[str]) -> DataFrame:
     return following.filter(hit).select(key, "pos")
 
 
-def hits(words: DataFrame, key: str, prefixes: list[str]) -> DataFrame:
+def _forms(text: Column) -> Column:
+    return F.filter(F.split(text, r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
+
+
+def _term(form: Column) -> Column:
+    return F.regexp_replace(F.lower(fold(form)), "[^a-z0-9']", "")
+
+
+def _begins(term: Column, prefixes: list[str]) -> Column:
+    return term.rlike("^(?:" + "|".join(re.escape(p) for p in prefixes) + ")")
+
+
+def with_hits(docs: DataFrame, text: str, prefixes: list[str]) -> DataFrame:
+    """docs that have words which begin with a query word, with ``words`` and ``runs`` of such words (first, last).
+
+    All within the row: no word is shuffled.
+    """
+    placed = docs.withColumn("words", _forms(F.col(text)))
+    match = F.filter(F.transform("words", lambda w, i: F.when(_begins(_term(w), prefixes), i)), lambda i: i.isNotNull())
+    placed = placed.withColumn("_m", match).filter(F.size("_m") > 0)
+    first = F.filter("_m", lambda p, k: (k == 0) | (F.get("_m", k - 1) != p - 1))
+    last = F.filter("_m", lambda p, k: (k == F.size("_m") - 1) | (F.get("_m", k + 1) != p + 1))
+    return placed.withColumn("runs", F.arrays_zip(first.alias("first"), last.alias("last"))).drop("_m")
+
+
+def hits(docs: DataFrame, key: str, text: str, prefixes: list[str]) -> DataFrame:
     """(key, first, last): runs of consecutive words that begin with a query word."""
-    match = F.lit(False)
-    for p in prefixes:
-        match |= F.col("term").startswith(p)
-    found = words.filter(match).select(key, "pos")
-    g = F.col("pos") - F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    return found.withColumn("_g", g).groupBy(key, "_g").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).drop("_g")
+    return with_hits(docs, text, prefixes).select(key, F.explode("runs").alias("r")).select(key, "r.first", "r.last")
 
 
-def kwic(docs: DataFrame, key: str, text: str, found: DataFrame, around: int = 14, width: int = 64) -> DataFrame:
+def kwic(docs: DataFrame, key: str, text: str, prefixes: list[str], around: int = 14, width: int = 64) -> DataFrame:
     """(key, first, left, hit, right): each hit with its context, cut to a width on either side."""
-    words = F.filter(F.split(text, r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
-    joined = docs.select(key, words.alias("w")).join(found, key)
-    lo = F.greatest(F.col("first") - around, F.lit(0))
-    left = F.array_join(F.slice("w", lo + 1, F.col("first") - lo), " ")
-    right = F.array_join(F.slice("w", F.col("last") + 2, F.lit(around)), " ")
-    hit = F.array_join(F.slice("w", F.col("first") + 1, F.col("last") - F.col("first") + 1), " ")
-    return joined.select(key, "first", F.right(left, F.lit(width)).alias("left"), hit.alias("hit"), F.left(right, F.lit(width)).alias("right"))
+    found = with_hits(docs, text, prefixes).select(key, "words", F.explode("runs").alias("r"))
+    first, last = F.col("r.first"), F.col("r.last")
+    lo = F.greatest(first - around, F.lit(0))
+    joined = lambda at, n: F.array_join(F.slice("words", at, n), " ")
+    left, right = joined(lo + 1, first - lo), joined(last + 2, F.lit(around))
+    return found.select(key, first.alias("first"), F.right(left, F.lit(width)).alias("left"), joined(first + 1, last - first + 1).alias("hit"), F.left(right, F.lit(width)).alias("right"))
 
 
 def sort_form(s: Column) -> Column:
@@ -51,19 +72,30 @@ def sort_form(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(fold(s)), "[^a-z]+", " "))
 
 
-def sorted_lines(lines: DataFrame, side: str, key: str) -> DataFrame:
-    """Adds ``place``: the order by the words right of the hit, or left of it read backwards; empty ones last."""
+def sorted_lines(lines: DataFrame, side: str, key: str, lead: int = 3) -> DataFrame:
+    """Adds ``place``: the order by the words right of the hit, or left of it read backwards; empty ones last.
+
+    Lines are ranked within groups of equal first letters, behind the lines of the groups before:
+    only the table of groups is put in order in one place.
+    """
     form = sort_form(F.col("right")) if side == "right" else F.array_join(F.reverse(F.split(sort_form(F.col("left")), " ")), " ")
-    return lines.withColumn("form", form).withColumn("place", F.row_number().over(Window.orderBy((F.col("form") == "").cast("int"), "form", key, "first")))
+    formed = lines.withColumn("form", form)
+    group = F.struct((F.col("form") == "").alias("empty"), F.left("form", F.lit(lead)).alias("lead"))
+    formed = formed.withColumn("_g", group)
+    sizes = formed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = formed.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("form", key, "first"))).join(before.drop("_n"), "_g")
+    return ranked.withColumn("place", (F.col("_before") + F.col("_r")).cast("int")).drop("_g", "_r", "_before")
 
 
-def collocates(words: DataFrame, key: str, found: DataFrame, prefixes: list[str], stop: list[str], around: int = 5, min_length: int = 4, top: int = 24) -> DataFrame:
+def collocates(docs: DataFrame, text: str, prefixes: list[str], stop: list[str], around: int = 5, min_length: int = 4, top: int = 24) -> DataFrame:
     """(term, n): words near the hits without query words and stop words."""
-    ranges = found.select(key, F.explode(F.concat(F.sequence(F.col("first") - around, F.col("first") - 1), F.sequence(F.col("last") + 1, F.col("last") + around))).alias("pos"))
-    near = words.join(ranges, [key, "pos"]).filter((F.length("term") >= min_length) & ~F.col("term").isin(stop))
-    for p in prefixes:
-        near = near.filter(~F.col("term").startswith(p))
-    return near.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(top)
+    found = with_hits(docs, text, prefixes).select("words", F.explode("runs").alias("r"))
+    lo = F.greatest(F.col("r.first") - around, F.lit(0))
+    near = F.concat(F.slice("words", lo + 1, F.col("r.first") - lo), F.slice("words", F.col("r.last") + 2, F.lit(around)))
+    terms = found.select(F.explode(F.transform(near, _term)).alias("term"))
+    some = terms.filter((F.length("term") >= min_length) & ~F.col("term").isin(stop) & ~_begins(F.col("term"), prefixes))
+    return some.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(top)
 
 
 def distribution(found: DataFrame, docs: DataFrame, key: str, facet: str, per: int = 1000) -> DataFrame:
@@ -73,6 +105,12 @@ def distribution(found: DataFrame, docs: DataFrame, key: str, facet: str, per: i
     return totals.join(got, facet, "left").select(facet, F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"), "docs", (F.coalesce("hits", F.lit(0)) * per / F.col("docs")).alias("rate"))
 
 
+def long_enough(query: str, least: int = 3) -> list[str]:
+    """The words of a query that are searched: folded, and of so many letters at least."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
+    return [w for w in re.findall("[a-z0-9']+", plain) if len(w) >= least]
+
+
 def facets(found: DataFrame, docs: DataFrame, key: str, one: str, two: str) -> DataFrame:
     """(one, two, n): hits by either facet and by both, in one pass."""
     some = docs.select(key, one, two).join(found.select(key).distinct(), key, "left_semi")
