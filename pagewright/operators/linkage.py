@@ -90,14 +90,39 @@ def fuzzy_page_join(entries: DataFrame, pages: DataFrame, entry: str, page: str,
     return named.join(hit, [page, "a"]).groupBy(entry, page).agg(F.min("seq").alias("seq"))
 
 
-def index_edits(entries: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries after edits, unapplied edits): edits (prefix, new_entry) replace or, with null, drop entries by prefix.
+def index_edits(entries: DataFrame, updates: DataFrame | None = None, additions: DataFrame | None = None, drops: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries after edits, edits that met nothing): index entries (ord, entry, …) with edits by prefix.
 
-    Edits share their first eight characters with the entry, so the prefix test is an equi-join first.
+    updates (edit, prefix, …) set the columns they share with the entries, where not null, on the
+    first entry in order that begins with their prefix; of several updates of one entry and column
+    the last edit wins. additions are further entries, drops (prefix) remove all that begin with
+    it, added and updated ones too. Updates are matched against the entries as they come.
+
+    Edits are a short list by hand: an entry meets those of its own first letters, at each length
+    that a prefix has, so the join is one of equal keys.
     """
-    short = edits.withColumn("_k", F.left("prefix", F.lit(8)))
-    hit = entries.withColumn("_k", F.left("entry", F.lit(8))).join(short, "_k", "left").withColumn("_hit", F.coalesce(F.col("entry").startswith(F.col("prefix")), F.lit(False)))
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_hit"), "prefix"))
-    one = hit.withColumn("_r", best).filter("_r = 1")
-    out = one.filter(~F.col("_hit") | F.col("new_entry").isNotNull()).select("id", F.when(F.col("_hit"), F.col("new_entry")).otherwise(F.col("entry")).alias("entry"))
-    return out, edits.join(one.filter("_hit").select("prefix").distinct(), "prefix", "left_anti")
+    session = entries.sparkSession
+    none = session.createDataFrame([], "kind string, prefix string")
+
+    def met(rows: DataFrame, edits: DataFrame) -> DataFrame:
+        keys = edits.select(F.length("prefix").alias("_len")).distinct().agg(F.collect_set("_len").alias("_lens"))  # one row
+        cut = rows.crossJoin(F.broadcast(keys)).withColumn("_len", F.explode("_lens")).filter(F.length("entry") >= F.col("_len"))
+        return cut.withColumn("prefix", F.left("entry", F.col("_len"))).drop("_lens", "_len").join(edits, "prefix")
+
+    out, unmet = entries, none
+    if updates is not None:
+        values = [c for c in updates.columns if c in entries.columns and c != "ord"]
+        new = updates.select("edit", "prefix", F.struct(*values).alias("_new")) if values else updates.select("edit", "prefix", F.lit(None).alias("_new"))
+        first = met(entries.select("ord", "entry"), new).groupBy("edit", "prefix").agg(F.min("ord").alias("ord"))
+        found = first.join(new.drop("prefix"), "edit")
+        last = [F.max(F.when(F.col("_new")[c].isNotNull(), F.struct("edit", F.col("_new")[c].alias("v")))).alias(f"_{c}") for c in values]
+        set_ = found.groupBy("ord").agg(*last)
+        out = entries.join(set_, "ord", "left").select(*(F.coalesce(F.col(f"_{c}.v"), F.col(c)).alias(c) if c in values else F.col(c) for c in entries.columns))
+        unmet = unmet.unionByName(updates.join(first.select("edit"), "edit", "left_anti").select(F.lit("update").alias("kind"), "prefix"))
+    if additions is not None:
+        out = out.unionByName(additions, allowMissingColumns=True)
+    if drops is not None:
+        hit = met(out.select("ord", "entry"), drops.select("prefix").distinct())
+        unmet = unmet.unionByName(drops.select("prefix").distinct().join(hit.select("prefix").distinct(), "prefix", "left_anti").select(F.lit("drop").alias("kind"), "prefix"))
+        out = out.join(hit.select("ord").distinct(), "ord", "left_anti").select(*out.columns)
+    return out, unmet

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,31 @@ def pair_edges(baskets: DataFrame, basket: str, item: str, min_pairs: int = 1, k
     return out.crossJoin(F.broadcast(total)).select("s", "t", "f", "w", "fs", "ft", "baskets")
 
 
+def basket_edges(baskets: DataFrame, items: str, kept: list[str], min_pairs: int = 1) -> DataFrame:
+    """(s, t, f, w, fs, ft, baskets) as ``pair_edges``, for baskets that are arrays and a bounded list of kept items.
+
+    Pairs are made within the row, from at most as many items as are kept, and counted by partial
+    sums: one scan and one shuffle of pairs, whatever the number of baskets.
+    """
+    some = F.array_sort(F.array_intersect(items, F.array(*(F.lit(x) for x in kept)).cast("array<string>")))
+    found = baskets.filter(F.size(items) > 0).select(some.alias("k"))
+    # an item with itself stands for its baskets, an empty pair for the basket
+    pair = lambda s, t, n: F.struct(s.alias("s"), t.alias("t"), (1 / F.nullif(n - 1, F.lit(0))).alias("w"))
+    pairs = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 1, F.size("k")), lambda y: pair(x, y, F.size("k")))))
+    counted = found.select(F.explode(F.array_append(pairs, pair(F.lit(""), F.lit(""), F.lit(1)))).alias("p")).groupBy("p.s", "p.t").agg(F.count(F.lit(1)).alias("f"), F.sum("p.w").alias("w"))
+    own = counted.filter((F.col("s") == F.col("t")) & (F.col("s") != ""))
+    total = counted.filter("s = ''").select(F.col("f").alias("baskets"))  # one row
+    edges = counted.filter((F.col("s") < F.col("t")) & (F.col("s") != "") & (F.col("f") >= min_pairs))
+    out = edges.join(own.select("s", F.col("f").alias("fs")), "s").join(own.select("t", F.col("f").alias("ft")), "t")
+    return out.crossJoin(F.broadcast(total)).select("s", "t", "f", "w", "fs", "ft", "baskets")
+
+
+def basket_counts(baskets: DataFrame, items: str, kept: list[str]) -> DataFrame:
+    """(item, n): the baskets of each kept item."""
+    some = F.array_intersect(items, F.array(*(F.lit(x) for x in kept)).cast("array<string>"))
+    return baskets.select(F.explode(some).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
 def pmi(edges: DataFrame, digits: int = 3) -> DataFrame:
     """Adds ``pmi`` = ln(f N / (fs ft)), rounded; never a negative zero."""
     return edges.withColumn("pmi", F.round(F.log(F.col("f") * F.col("baskets") / (F.col("fs") * F.col("ft"))), digits) + F.lit(0.0))
@@ -125,25 +152,38 @@ TITLES = {"Father": "father", "Fr.": "father", "Brother": "brother", "Br.": "bro
 PARTICLES = ["de", "De", "van", "Van", "von", "Von", "La", "Le", "du", "Du", "Del", "del", "della", "Della"]
 
 
+#: What a name is made of: initials and forenames, a surname with its prefix and double form, a regnal number; fixed values.
+NAME_PARTS = {"forename": r"[A-Z][a-z]+|[A-Z]\.", "surname": r"(?:O'|Mc|Mac)?[A-Z][a-z]+(?:-[A-Z][a-z]+)?", "numeral": r"[XVI]{1,5}"}
+
+
+def _mention_pattern(titles: list[str], most_forenames: int = 3) -> str:
+    """Title, name and numeral as groups, put together from the kinds of words."""
+    any_of = lambda words: "(?:" + "|".join(re.escape(w) for w in words) + ")"
+    gap, part = r"\s+", NAME_PARTS
+    name = f"(?:(?:{part['forename']}){gap}){{0,{most_forenames}}}(?:{any_of(PARTICLES)}{gap})?{part['surname']}"
+    return rf"\b({any_of(titles)}){gap}({name})(?:{gap}({part['numeral']})\b)?"
+
+
 def person_mentions(paras: DataFrame, keys: list[str], text: str, titles: dict[str, str] | None = None, offices: list[str] = ()) -> DataFrame:
-    """(keys, title, cls, surname, first, display): titled names in a text; offices are no names."""
+    """(keys, title, cls, surname, first, display): titled names in a text; offices are no names.
+
+    A pope is named by his numeral; other names need a surname of three letters or more that is no
+    office. Offices in front of a name go.
+    """
     titles = titles or TITLES
-    alternatives = "|".join(t.replace(".", r"\.") for t in titles)
-    particle = "(?:(?:" + "|".join(PARTICLES) + r")\s+)"
-    name = r"(?:(?:[A-Z][a-z]+|[A-Z]\.)\s+){0,3}" + particle + r"?(?:O'|Mc|Mac)?[A-Z][a-z]+(?:-[A-Z][a-z]+)?"
-    pattern = rf"\b({alternatives})\s+({name})(?:\s+([XVI]{{1,5}})\b)?"
-    found = paras.select(*keys, F.explode(F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), k).alias(c) for k, c in ((1, "title"), (2, "name"), (3, "numeral"))))).alias("m"))
-    words = F.filter(F.split("m.name", r"\s+"), lambda w: w != "")
-    stop = F.array(*(F.lit(o) for o in offices)).cast("array<string>")
-    # leading offices go: cut at the first word that is none
-    keep = F.aggregate(words, F.array().cast("array<string>"), lambda acc, w: F.when((F.size(acc) == 0) & F.array_contains(stop, w), acc).otherwise(F.array_append(acc, w)))
-    parsed = found.select(*keys, F.col("m.title").alias("title"), F.col("m.numeral").alias("numeral"), keep.alias("w")).filter(F.size("w") > 0)
-    cls = F.create_map(*(F.lit(x) for kv in titles.items() for x in kv))[F.col("title")]
-    joint = (F.size("w") > 1) & F.try_element_at("w", F.lit(-2)).isin(PARTICLES)
-    surname = F.when(joint, F.concat_ws(" ", F.try_element_at("w", F.lit(-2)), F.try_element_at("w", F.lit(-1)))).otherwise(F.try_element_at("w", F.lit(-1)))
-    first = F.when(F.size("w") > F.when(joint, 2).otherwise(1), F.substring(F.element_at("w", 1), 1, 1)).otherwise("")
-    out = parsed.select(*keys, "title", "numeral", cls.alias("cls"), surname.alias("surname"), first.alias("first"), F.array_join("w", " ").alias("display"))
+    pattern = F.lit(_mention_pattern(list(titles)))
+    groups = F.arrays_zip(*(F.regexp_extract_all(text, pattern, k).alias(c) for k, c in ((1, "title"), (2, "name"), (3, "numeral"))))
+    named = paras.select(*keys, F.explode(groups).alias("m")).select(*keys, "m.title", "m.numeral", F.filter(F.split("m.name", r"\s+"), lambda w: w != "").alias("w"))
+    office = lambda w: F.array_contains(F.array(*(F.lit(o) for o in offices)).cast("array<string>"), w)
+    # the first word that is no office opens the name
+    begin = F.array_min(F.filter(F.transform("w", lambda w, i: F.when(~office(w), i + 1)), lambda i: i.isNotNull()))
+    named = named.withColumn("_b", begin).filter("_b is not null").withColumn("w", F.slice("w", F.col("_b"), F.size("w")))
+    taken = F.when((F.size("w") > 1) & F.get("w", F.size("w") - 2).isin(PARTICLES), 2).otherwise(1)
+    named = named.withColumn("_n", taken).withColumn("cls", F.create_map(*(F.lit(x) for kv in titles.items() for x in kv))[F.col("title")])
     pope = F.col("cls") == "pope"
-    out = out.filter(F.when(pope, F.col("numeral") != "").otherwise(~F.array_contains(stop, F.col("surname")) & (F.length(F.replace(F.col("surname"), F.lit(" "), F.lit(""))) >= 3)))
-    named = F.concat_ws(" ", "surname", "numeral")
-    return out.select(*keys, "title", "cls", F.when(pope, named).otherwise(F.col("surname")).alias("surname"), F.when(pope, "").otherwise(F.col("first")).alias("first"), F.when(pope, F.concat(F.lit("Pope "), named)).otherwise(F.col("display")).alias("display"))
+    surname = F.array_join(F.slice("w", F.size("w") - F.col("_n") + 1, F.col("_n")), " ")
+    named = named.withColumn("surname", F.when(pope, F.concat_ws(" ", surname, "numeral")).otherwise(surname))
+    fits = F.when(pope, F.col("numeral") != "").otherwise(~office(F.col("surname")) & (F.length(F.replace(F.col("surname"), F.lit(" "), F.lit(""))) >= 3))
+    first = F.when(~pope & (F.size("w") > F.col("_n")), F.left(F.get("w", F.lit(0)), F.lit(1))).otherwise("")
+    display = F.when(pope, F.concat(F.lit("Pope "), "surname")).otherwise(F.array_join("w", " "))
+    return named.filter(fits).select(*keys, "title", "cls", "surname", first.alias("first"), display.alias("display"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sentences as sentence_array
+
 
 def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line_no, line): lines of each text with their ordinals."""
@@ -158,15 +160,9 @@ def merge_continued(paras: DataFrame, key: str, pos: str, text: str, goes_on: Co
 
 
 def sentences(paras: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, sent, text): pieces are joined on while the one before ends in an abbreviation."""
-    from ..functions.text import ends_in_abbreviation, sentence_pieces
-
-    pieces = paras.select(*keys, F.posexplode(sentence_pieces(F.col(text))).alias("piece", "part"))
-    w = Window.partitionBy(*keys).orderBy("piece")
-    new = F.coalesce(~ends_in_abbreviation(F.lag("part").over(w)), F.lit(True))
-    numbered = pieces.withColumn("_n", new.cast("int")).withColumn("sent", F.sum("_n").over(w))
-    parts = F.array_sort(F.collect_list(F.struct("piece", "part")))
-    return numbered.groupBy(*keys, "sent").agg(F.array_join(F.transform(parts, lambda x: x["part"]), " ").alias(text))
+    """(keys, sent, text): the sentences of each text, numbered from 1; made within the row."""
+    found = paras.select(*keys, F.posexplode(sentence_array(F.col(text))).alias("_at", text))
+    return found.select(*keys, (F.col("_at") + 1).cast("bigint").alias("sent"), text)
 
 
 def neighbours(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

@@ -44,13 +44,15 @@ def keyness_terms(spark, sf):
     return out.select("term", "f", "parts", F.round("ratio", 4).alias("ratio"), F.round("key", 4).alias("key"))
 
 
-# terms of sentences; the 60 most frequent by sentences are linked
+# terms of sentences; the 260 terms with the largest keyness are linked
 EDGES = f"""
+{KEYNESS.strip()},
+kt AS (SELECT term FROM y WHERE ratio >= 1.5 ORDER BY f * ln(ratio) DESC, term LIMIT 260),
 {SENTENCES.strip()},
 st AS (SELECT DISTINCT doc_id || ':' || sent AS b, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z][a-z'']+[a-z]')) AS term FROM s),
 su AS (SELECT * FROM st WHERE length(term) >= 4),
 fr AS (SELECT term, count(*) AS n FROM su GROUP BY term),
-ks AS (SELECT term, n FROM fr ORDER BY n DESC, term LIMIT 60),
+ks AS (SELECT term, n FROM fr JOIN kt USING (term)),
 pr AS (SELECT x.term AS s, y.term AS t, count(*) AS f FROM su x JOIN su y ON x.b = y.b AND x.term < y.term WHERE x.term IN (SELECT term FROM ks) AND y.term IN (SELECT term FROM ks) GROUP BY ALL HAVING count(*) >= 6),
 ed AS (SELECT pr.s, pr.t, f, round(ln(f * (SELECT count(DISTINCT b) FROM su) / (p.n * q.n)), 3) + 0.0 AS pmi FROM pr JOIN ks p ON p.term = pr.s JOIN ks q ON q.term = pr.t),
 pos AS (SELECT *, pmi * ln(1 + f) AS score FROM ed WHERE pmi > 0),
@@ -59,15 +61,19 @@ best AS (SELECT DISTINCT s, t FROM (SELECT *, row_number() OVER (PARTITION BY no
 net AS (SELECT pos.* FROM pos JOIN best USING (s, t))"""
 
 
+def key_terms(spark, sf):
+    """The kept terms, 260 at most."""
+    return [r["term"] for r in keyness_terms(spark, sf).select("term").collect()]
+
+
 def sentence_terms(spark, sf):
-    s = P.sentences(table(spark, sf, "documents"), ["doc_id"], "text")
-    return s.select(F.concat_ws(":", "doc_id", "sent").alias("b"), F.explode(F.array_distinct(T.word_tokens(F.col("text")))).alias("term")).filter(F.length("term") >= 4)
+    """A sentence a row, with the array of its terms."""
+    s = table(spark, sf, "documents").select(F.explode(T.sentences(F.col("text"))).alias("text"))
+    return s.select(F.filter(F.array_distinct(T.word_tokens(F.col("text"))), lambda w: F.length(w) >= 4).alias("terms"))
 
 
 def term_edges(spark, sf):
-    terms = sentence_terms(spark, sf)
-    kept = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(60)
-    return N.pmi(N.pair_edges(terms, "b", "term", 6, F.broadcast(kept)))  # 60 rows
+    return N.pmi(N.basket_edges(sentence_terms(spark, sf), "terms", key_terms(spark, sf), 6))
 
 
 def term_network(spark, sf):
@@ -98,8 +104,8 @@ def bridges(spark, sf):
 WITH {EDGES}, bw AS (SELECT s AS node, t AS other, pmi, f FROM net UNION ALL SELECT t, s, pmi, f FROM net)
 SELECT other, round(pmi * ln(1 + f), 6) AS score FROM bw WHERE node = (SELECT term FROM ks ORDER BY n DESC, term LIMIT 1) ORDER BY round(pmi * ln(1 + f), 9) DESC, other LIMIT 16""")
 def neighbours(spark, sf):
-    first = sentence_terms(spark, sf).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(1)
-    both = N.both_ways(term_network(spark, sf)).join(F.broadcast(first.select(F.col("term").alias("node"))), "node", "left_semi")
+    first = N.basket_counts(sentence_terms(spark, sf), "terms", key_terms(spark, sf)).orderBy(F.desc("n"), "item").limit(1)
+    both = N.both_ways(term_network(spark, sf)).join(F.broadcast(first.select(F.col("item").alias("node"))), "node", "left_semi")
     score = F.round(F.col("pmi") * F.log(1 + F.col("f")), 9)
     return both.select("other", score.alias("sc")).orderBy(F.desc("sc"), "other").limit(16).select("other", F.round("sc", 6).alias("score"))
 
@@ -108,7 +114,7 @@ def neighbours(spark, sf):
 WITH {EDGES}, top AS (SELECT term FROM ks ORDER BY n DESC, term LIMIT 20)
 SELECT s, t, f FROM ed WHERE s IN (FROM top) AND t IN (FROM top)""")
 def density(spark, sf):
-    nodes = sentence_terms(spark, sf).groupBy(F.col("term").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    nodes = N.basket_counts(sentence_terms(spark, sf), "terms", key_terms(spark, sf)).withColumnRenamed("item", "node")
     return N.induced(nodes, term_edges(spark, sf), "n", 20).select("s", "t", "f")
 
 
@@ -174,10 +180,19 @@ def best_form(spark, sf):
     return N.best_form(o, "k", "form")
 
 
-@query()
+# three titled names in each line made from a part's words; the SQL knows how they were made
+@query("""
+WITH w AS (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]) AS w FROM part)
+SELECT p_partkey, 'Father' AS title, 'father' AS cls, w[1] AS surname, chr((65 + p_partkey % 26)::INT) AS first, chr((65 + p_partkey % 26)::INT) || '. ' || w[1] AS display FROM w
+UNION ALL SELECT p_partkey, 'Br.', 'brother', 'de ' || w[2], w[1][1], w[1] || ' de ' || w[2] FROM w WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, 'Pope', 'pope', w[2] || ' XI', '', 'Pope ' || w[2] || ' XI' FROM w WHERE p_partkey % 3 = 0""")
 def person_mentions(spark, sf):
-    """Titles that occur in the made-up texts stand for the real ones; tested on written cases."""
-    return N.person_mentions(table(spark, sf, "documents"), ["doc_id"], "text", {"The": "father", "Of": "brother", "To": "mr"})
+    w = table(spark, sf, "part").select("p_partkey", F.transform(F.split("p_name", " "), lambda x: F.initcap(x)).alias("w"))
+    initial = F.char((65 + F.col("p_partkey") % 26).cast("int"))
+    brother = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" met Br. "), F.get("w", F.lit(0)), F.lit(" de "), F.get("w", F.lit(1)))).otherwise(F.lit(" met Br. Pr"))
+    pope = F.concat(F.lit(" and Pope "), F.get("w", F.lit(1)), F.when(F.col("p_partkey") % 3 == 0, " XI").otherwise(""), F.lit("; so did Bishop Rector."))
+    text = F.concat(F.lit("Then Father Rector "), initial, F.lit(". "), F.get("w", F.lit(0)), brother, pope)
+    return N.person_mentions(w.select("p_partkey", text.alias("text")), ["p_partkey"], "text", offices=["Rector"])
 
 
 LEXICON = {"article": ["the", "a", "an"], "link": ["of", "and", "to", "in"], "point": ["that", "this", "it"], "place": ["at", "from", "by", "on"]}
@@ -250,8 +265,11 @@ mt AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY
 hi AS (SELECT doc_id, min(pos) AS first, max(pos) AS last FROM mt GROUP BY doc_id, g)"""
 
 
+QUERY = ["whti", "hest"]
+
+
 def found(spark, sf):
-    return S.hits(S.postings(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", ["whti", "hest"])
+    return S.hits(table(spark, sf, "documents"), "doc_id", "text", QUERY)
 
 
 @query(f"WITH {WORDS} SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM po GROUP BY term")
@@ -259,7 +277,9 @@ def postings(spark, sf):
     return S.postings(table(spark, sf, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("doc_id").alias("df"))
 
 
-@query(f"WITH {WORDS} SELECT a.doc_id, a.pos FROM po a JOIN po b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN po c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'of' AND b.term = 'the' AND c.term = 'and' OR a.term = 'in' AND b.term = 'the' AND c.term = 'of'")
+@query(f"""
+WITH {WORDS}, n AS (SELECT doc_id, pos, term, lead(term, 1) OVER w AS t1, lead(term, 2) OVER w AS t2 FROM po WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos FROM n WHERE term = 'of' AND t1 = 'the' AND t2 = 'and' OR term = 'in' AND t1 = 'the' AND t2 = 'of'""")
 def phrase(spark, sf):
     p = S.postings(table(spark, sf, "documents"), "doc_id", "text")
     return S.phrase(p, "doc_id", ["of", "the", "and"]).union(S.phrase(p, "doc_id", ["in", "the", "of"]))
@@ -273,14 +293,14 @@ kw AS (SELECT doc_id, first, right(coalesce((SELECT string_agg(form, ' ' ORDER B
 
 @query(f"WITH {KWIC} SELECT * FROM kw")
 def kwic(spark, sf):
-    return S.kwic(table(spark, sf, "documents"), "doc_id", "text", found(spark, sf))
+    return S.kwic(table(spark, sf, "documents"), "doc_id", "text", QUERY)
 
 
 @query(f"""
 WITH {KWIC}, f AS (SELECT *, trim(regexp_replace(strip_accents(lower("right")), '[^a-z]+', ' ', 'g')) AS form FROM kw)
 SELECT doc_id, first, form, row_number() OVER (ORDER BY form = '', form, doc_id, first)::INT AS place FROM f""")
 def kwic_sorted(spark, sf):
-    return S.sorted_lines(S.kwic(table(spark, sf, "documents"), "doc_id", "text", found(spark, sf)), "right", "doc_id").select("doc_id", "first", "form", "place")
+    return S.sorted_lines(S.kwic(table(spark, sf, "documents"), "doc_id", "text", QUERY), "right", "doc_id").select("doc_id", "first", "form", "place")
 
 
 @query(f"WITH {WORDS} SELECT term, count(*) AS n FROM po WHERE term LIKE 'whti%' OR term LIKE 'hest%' GROUP BY term ORDER BY n DESC, term LIMIT 12")
@@ -293,7 +313,7 @@ def forms(spark, sf):
 WITH {HITS}, r AS (SELECT doc_id, unnest(list_concat(range(first - 5, first), range(last + 1, last + 6)))::INT AS pos FROM hi)
 SELECT term, count(*) AS n FROM po JOIN r USING (doc_id, pos) WHERE length(term) >= 4 AND term NOT IN ({", ".join(repr(w) for w in FUNCTION)}) AND NOT (term LIKE 'whti%' OR term LIKE 'hest%') GROUP BY term ORDER BY n DESC, term LIMIT 24""")
 def collocates(spark, sf):
-    return S.collocates(S.postings(table(spark, sf, "documents"), "doc_id", "text"), "doc_id", found(spark, sf), ["whti", "hest"], FUNCTION)
+    return S.collocates(table(spark, sf, "documents"), "text", QUERY, FUNCTION)
 
 
 @query(f"""

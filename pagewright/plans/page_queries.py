@@ -91,12 +91,10 @@ def seams(spark, sf):
     return P.seams(r, "k", "y", "lo", "hi")
 
 
-@query("SELECT l_orderkey, l_linenumber, (l_suppkey % 3) || CASE WHEN row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber) > 1 THEN ' bis' ELSE '' END AS label FROM lineitem WHERE l_linenumber IS NOT NULL QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1")
+@query("SELECT l_orderkey, l_linenumber, (l_suppkey % 3) || CASE WHEN row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) > 1 THEN ' bis' ELSE '' END AS label FROM lineitem")
 def bis_labels(spark, sf):
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("page"))
-    labelled = P.repeat_labels(l, "l_orderkey", "page", "l_linenumber")
-    alone = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber"))
-    return labelled.withColumn("_n", alone).filter("_n = 1").select("l_orderkey", "l_linenumber", "label")
+    l = table(spark, sf, "lineitem").withColumn("page", F.col("l_suppkey") % 3).withColumn("place", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return P.repeat_labels(l, "l_orderkey", "page", "place").select("l_orderkey", "l_linenumber", "label")
 
 
 @query(f"""
@@ -197,14 +195,34 @@ def fuzzy_page_join(spark, sf):
     return L.fuzzy_page_join(b, d, "item_id", "page").select("item_id", "page", "seq.doc_id", "seq.line_no")
 
 
-@query("""
-WITH e AS (SELECT 'Supplier#' || left(lpad(CAST(k AS VARCHAR), 9, '0'), 9) AS prefix, CASE WHEN k % 2 = 0 THEN 'New ' || k END AS new_entry FROM (SELECT unnest(range(1, 40, 3)) AS k))
-SELECT s_suppkey AS id, CASE WHEN prefix IS NULL THEN s_name ELSE new_entry END AS entry FROM supplier LEFT JOIN e ON starts_with(s_name, prefix) WHERE prefix IS NULL OR new_entry IS NOT NULL""")
+# updates of the first entry with a prefix, one entry added, and drops of all with a prefix; prefixes of three to fifteen letters
+EDITS = """
+e AS (SELECT row_number() OVER (ORDER BY c_custkey) AS ord, c_mktsegment || ' ' || c_name AS entry, NULL::VARCHAR AS author FROM customer),
+u AS (SELECT * FROM (VALUES (1, 'BUI', 'Builders', 'A'), (2, 'AUTOMOBILE C', 'Cars', NULL), (3, 'MACHINERY Custo', NULL, 'B'), (4, 'Nothing', 'x', 'x')) v(edit, prefix, entry, author)),
+d AS (SELECT * FROM (VALUES ('HOU'), ('Cars'), ('No such')) v(prefix))"""
+
+
+def edited_index(spark, sf):
+    from ..operators.linkage import index_edits as edits
+
+    c = table(spark, sf, "customer")
+    e = c.select(F.row_number().over(Window.orderBy("c_custkey")).alias("ord"), F.concat_ws(" ", "c_mktsegment", "c_name").alias("entry"), F.lit(None).cast("string").alias("author"))
+    u = spark.createDataFrame([(1, "BUI", "Builders", "A"), (2, "AUTOMOBILE C", "Cars", None), (3, "MACHINERY Custo", None, "B"), (4, "Nothing", "x", "x")], "edit int, prefix string, entry string, author string")
+    d = spark.createDataFrame([("HOU",), ("Cars",), ("No such",)], "prefix string")
+    return edits(e, u, spark.createDataFrame([(0, "Added by hand", "C")], "ord int, entry string, author string"), d)
+
+
+@query(f"""
+WITH {EDITS}, f AS (SELECT u.*, min(e.ord) AS ord FROM u JOIN e ON starts_with(e.entry, u.prefix) GROUP BY ALL),
+n AS (SELECT e.ord, coalesce(f.entry, e.entry) AS entry, coalesce(f.author, e.author) AS author FROM e LEFT JOIN f ON e.ord = f.ord UNION ALL SELECT 0, 'Added by hand', 'C')
+SELECT ord::INT AS ord, entry, author FROM n WHERE NOT EXISTS (SELECT 1 FROM d WHERE starts_with(n.entry, d.prefix))""")
 def index_edits(spark, sf):
-    k = spark.range(1, 40, 3)
-    e = k.select(F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("prefix"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("New "), F.col("id").cast("string"))).alias("new_entry"))
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("entry"))
-    return L.index_edits(s, e)[0]
+    return edited_index(spark, sf)[0].select("ord", "entry", "author")
+
+
+@query("SELECT 'update' AS kind, 'Nothing' AS prefix UNION ALL SELECT 'drop', 'No such'")
+def index_edits_unmet(spark, sf):
+    return edited_index(spark, sf)[1]
 
 
 # index lines made from parts: "vol, page; vol, page (obit); letter from vol, page"
@@ -244,20 +262,19 @@ FREQ = """
 t AS (SELECT lower(tok) AS term FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS tok FROM documents)),
 ref AS (SELECT term, log10(count(*) * 1e6 / (SELECT count(*) FROM t)) + 3 AS zipf FROM t GROUP BY term),
 tk AS (SELECT DISTINCT regexp_replace(tok, 'm', 'rn') AS token FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS tok FROM documents) WHERE length(tok) >= 4),
-ru AS (SELECT * FROM (VALUES (0, 'rn', 'm', 5), (1, 'iu', 'in', 5), (2, 'tl', 'tt', 5), (3, 'c', 'e', 5), (4, 'li', 'h', 4)) v(rule, a, b, w))"""
-RULES = [("rn", "m", 5), ("iu", "in", 5), ("tl", "tt", 5), ("c", "e", 5), ("li", "h", 4)]
+ru AS (SELECT * FROM (VALUES """ + ", ".join(f"({k}, '{a}', '{b}', {w})" for k, (a, b, w) in enumerate(B.MISREADINGS)) + ") v(rule, a, b, w))"
 
 
 @query(f"""
 WITH {FREQ}, q AS (SELECT token, coalesce(zipf, 0) AS zo FROM tk LEFT JOIN ref ON ref.term = lower(token) WHERE regexp_matches(token, '[a-z]') AND length(token) >= 4 AND coalesce(zipf, 0) < 2),
-c AS (SELECT token, zo, rule, left(token, strpos(token, a) - 1) || b || substr(token, strpos(token, a) + length(a)) AS reading FROM q, ru WHERE contains(token, a) AND length(token) >= w)
-SELECT token, reading, rule FROM c JOIN ref ON ref.term = lower(reading) WHERE zipf >= 2.5 AND zipf - zo >= 1.5 QUALIFY row_number() OVER (PARTITION BY token ORDER BY rule) = 1""")
+c AS (SELECT token, zo, rule, left(token, strpos(token, a) - 1) || b || substr(token, strpos(token, a) + length(a)) AS reading FROM q, ru WHERE contains(token, a) AND CASE WHEN w = -1 THEN starts_with(token, a) ELSE length(token) >= w END)
+SELECT token, reading, rule FROM c JOIN ref ON ref.term = lower(reading) WHERE zipf >= 2.5 AND zipf - zo >= 1.5 AND regexp_matches(reading, '^[A-Za-z'']+$') QUALIFY row_number() OVER (PARTITION BY token ORDER BY rule) = 1""")
 def repair_candidates(spark, sf):
     d = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("tok"))
     total = d.agg(F.count(F.lit(1)).alias("n_all"))
     ref = d.groupBy(F.lower("tok").alias("term")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("term", (F.log10(F.col("n") * 1e6 / F.col("n_all")) + 3).alias("zipf"))
     misread = d.filter(F.length("tok") >= 4).select(F.expr("concat(substring_index(tok, 'm', 1), case when contains(tok, 'm') then 'rn' else '' end, case when contains(tok, 'm') then substring(tok, instr(tok, 'm') + 1) else '' end)").alias("token"))
-    return B.repair_candidates(misread, "token", ref, RULES)
+    return B.repair_candidates(misread, "token", ref)
 
 
 @query(f"""
@@ -330,15 +347,15 @@ def article_sessions(spark, sf):
 
 
 @query("""
-WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS a FROM part), p AS (SELECT x.a AS a, y.a AS b FROM w x JOIN w y ON x.a < y.a)
-SELECT a, b, CASE WHEN (a < 'm' AND b < 'p') THEN a || '-' || b ELSE a || b END AS joined FROM p""")
+WITH w AS (SELECT string_split(p_name, ' ') AS ws FROM part), p AS (SELECT DISTINCT ws[i] AS a, ws[i + 1] AS b FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w))
+SELECT a, b, CASE WHEN b < 'd' THEN a || b WHEN a < 'm' AND b < 'p' THEN a || '-' || b ELSE a || b END AS joined FROM p""")
 def hyphen_decisions(spark, sf):
+    """Words that follow each other stand for the halves; the alphabet tells which are known."""
     from ..functions.repair import join_hyphen
 
-    w = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("a")).distinct()
-    # a few dozen distinct words, all pairs of them wanted
-    pairs = w.join(w.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", join_hyphen(F.col("a"), F.col("b"), F.lit(False), F.col("a") < "m", F.col("b") < "p").alias("joined"))
+    w = table(spark, sf, "part").select(F.split("p_name", " ").alias("w"))
+    pairs = w.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p")).select("p.a", "p.b").distinct()
+    return pairs.select("a", "b", join_hyphen(F.col("a"), F.col("b"), F.col("b") < "d", F.col("a") < "m", F.col("b") < "p").alias("joined"))
 
 
 @query("""

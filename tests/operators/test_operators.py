@@ -99,9 +99,9 @@ def test_kwic_and_phrase(spark):
     df = spark.createDataFrame([(1, "one Two three two THREE four"), (2, "")], "id int, t string")
     words = search.postings(df, "id", "t")
     assert [r.pos for r in search.phrase(words, "id", ["two", "three"]).orderBy("pos").collect()] == [1, 3]
-    found = search.hits(words, "id", ["two", "three"])
+    found = search.hits(df, "id", "t", ["two", "three"])
     assert [(r["first"], r["last"]) for r in found.collect()] == [(1, 4)]
-    line = search.kwic(df, "id", "t", found, around=1).first()
+    line = search.kwic(df, "id", "t", ["two", "three"], around=1).first()
     assert (line.left, line.hit, line.right) == ("one", "Two three two THREE", "four")
 
 
@@ -109,10 +109,29 @@ def test_fuzzy_join_and_linkage(spark):
     e = spark.createDataFrame([(1, 5, ["Maryland", "of"]), (2, 6, ["Jamaica"])], "entry int, page int, words array<string>")
     p = spark.createDataFrame([(5, 0, ["Other"]), (5, 1, ["Marvland"]), (6, 0, ["Ceylon"])], "page int, seq int, words array<string>")
     assert [tuple(r) for r in linkage.fuzzy_page_join(e, p, "entry", "page").collect()] == [(1, 5, 1)]
-    edits = spark.createDataFrame([("Supplement to", None), ("Letters of", "Letter of X"), ("Nothing here", "y")], "prefix string, new_entry string")
-    entries = spark.createDataFrame([(1, "Supplement to no. 2"), (2, "Letters of F. Y"), (3, "Plain")], "id int, entry string")
-    out, unused = linkage.index_edits(entries, edits)
-    assert sorted(tuple(r) for r in out.collect()) == [(2, "Letter of X"), (3, "Plain")] and [r.prefix for r in unused.collect()] == ["Nothing here"]
+
+
+def test_index_edits(spark):
+    """Updates take the first entry with a prefix of any length, additions come after, drops take all."""
+    entries = spark.createDataFrame([(1, "Obit of A", "x"), (2, "Obit of B", "y"), (3, "Manila, Letter", None), (4, "Plain", None)], "ord int, entry string, author string")
+    updates = spark.createDataFrame([(1, "Obit", "Obituary of A", None), (2, "Obit of A", None, "Fr. Z"), (3, "Man", "Manila", "Br. M"), (4, "Nothing here", "y", None)], "edit int, prefix string, entry string, author string")
+    added = spark.createDataFrame([(9, "Plainly added")], "ord int, entry string")
+    drops = spark.createDataFrame([("Pl",), ("No",)], "prefix string")
+    out, unmet = linkage.index_edits(entries, updates, added, drops)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "Obituary of A", "Fr. Z"), (2, "Obit of B", "y"), (3, "Manila", "Br. M")]
+    assert sorted(tuple(r) for r in unmet.collect()) == [("drop", "No"), ("update", "Nothing here")]
+    assert linkage.index_edits(entries)[0].count() == 4 and linkage.index_edits(entries.limit(0), updates)[1].count() == 4
+
+
+def test_basket_edges_as_pair_edges(spark):
+    rng = random.Random(3)
+    baskets = [(k, sorted({rng.choice("abcdefgh") for _ in range(rng.randrange(5))})) for k in range(60)]
+    df = spark.createDataFrame(baskets, "p int, i array<string>")
+    kept = spark.createDataFrame([(x,) for x in "abcdef"], "item string")
+    flat = df.select("p", F.explode("i").alias("item"))
+    want = {(r.s, r.t): (r.f, round(r.w, 9), r.fs, r.ft, r.baskets) for r in network.pair_edges(flat, "p", "item", 2, kept).collect()}
+    got = {(r.s, r.t): (r.f, round(r.w, 9), r.fs, r.ft, r.baskets) for r in network.basket_edges(df, "i", list("abcdef"), 2).collect()}
+    assert got == want and len(got) > 5
 
 
 def test_fuzzy_join_against_brute_force(spark):
