@@ -41,7 +41,7 @@ def first_references(refs: DataFrame, entry: list[str], order: str) -> DataFrame
     return some.groupBy(*entry).agg(F.array_sort(F.collect_list(F.struct("vol", "page", "kinds"))).alias("refs"))
 
 
-def known(tokens: DataFrame, token: str, vocab: DataFrame, reference: DataFrame, min_zipf: float = 2.0, min_count: int = 3) -> Column:
+def known(tokens: DataFrame, token: str, vocab: DataFrame, reference: DataFrame, min_zipf: float = 2.0, min_count: int = 3) -> DataFrame:
     """tokens with ``known``: alphabetic, and frequent in the reference (term, zipf) or the volume (term, n)."""
     low = F.lower(token)
     out = tokens.withColumn("_l", low).join(reference.select(F.col("term").alias("_l"), "zipf"), "_l", "left").join(vocab.select(F.col("term").alias("_l"), "n"), "_l", "left")

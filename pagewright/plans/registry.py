@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import network_queries, page_queries, text_queries  # noqa: F401  (their queries register themselves)
+from . import network_queries, page_queries, rule_queries, text_queries  # noqa: F401  (their queries register themselves)
 from .text_queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "term_topk_network"
