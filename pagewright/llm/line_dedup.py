@@ -1,10 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line (trimmed, at least ``min_chars`` code points) is removed if an earlier line of the corpus
-lies within the edit bound, in code points: it equals it (bound 0) or differs by one insertion,
-deletion or substitution (bound 1). Earlier means smaller (doc_id, text hash, line number); it
-does not matter whether the earlier line is removed itself. Of shorter lines, those of at least
-``exact_chars`` code points go if they equal an earlier line (none go unless it is given).
+A line (trimmed, not blank) is removed if an earlier line of the corpus lies within the edit bound,
+in code points: it equals it, or both have at least ``min_chars`` code points and differ by one
+insertion, deletion or substitution (bound 1). One edit is much of a short line, so below
+``min_chars`` only equal lines go. Earlier means smaller (doc_id, text hash, line number); it does
+not matter whether the earlier line is removed itself.
 
 1. Equal lines are reduced to their first place by hash.
 2. Two lines one edit apart have equal halves on one side of the edit. Lines that share no half
@@ -17,7 +17,8 @@ does not matter whether the earlier line is removed itself. Of shorter lines, th
 
 Defined results for odd input: a null text is empty; null doc_ids come last in corpus order;
 identical rows (doc_id and text) count as one document and get the same result; documents are
-never dropped, only lines; an empty table gives an empty table.
+never dropped, only lines; very long lines are compared whole; an empty table gives an empty
+table; columns called n_lines or n_removed give way to the new ones, all others stay.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +50,7 @@ def _hash(kind: str, s: str) -> int:
     return _signed(xxhash.xxh64_intdigest(kind + s))
 
 
-def lines_of(text: str, min_chars: int) -> list[tuple[int, str]]:
+def lines_of(text: str, min_chars: int = 1) -> list[tuple[int, str]]:
     """(number, trimmed line) of the lines that take part."""
     return [(k, x) for k, x in enumerate(x.strip(TRIM) for x in text.split("\n")) if len(x) >= min_chars]
 
@@ -88,17 +90,17 @@ def deletion_keys(line: str, left: bool, right: bool) -> tuple[int, np.ndarray,
     return int(whole.view(np.int64)), variants.view(np.int64), placed.view(np.int64)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(written: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if it has few rows (counted from its files); else as it is, for a shuffled join."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
-def _occurrences(docs: DataFrame, min_chars: int, max_edits: int, exact_chars: int) -> DataFrame:
+def _occurrences(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t, no, h, keys = [], [], [], [], []
             for doc, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, line in lines_of(text, exact_chars):
+                for k, line in lines_of(text):
                     d.append(doc)
                     t.append(th)
                     no.append(k)
@@ -150,7 +152,7 @@ def _later_of_pairs(firsts: DataFrame, occurrences: DataFrame, docs: DataFrame,
     shared = materialise(shared, "line-halves")
     # keys at even places are left halves: the edit is on the right, and the other way round
     sides = halves.join(_small(shared), "key", "left_semi").groupBy("h").agg(F.bool_or(F.col("k") % 2 == 0).alias("right"), F.bool_or(F.col("k") % 2 == 1).alias("left"))
-    texts = materialise(_texts(docs, _small(sides).join(firsts, "h"), min_chars), "line-texts")
+    texts = materialise(_texts(docs, _small(materialise(sides, "line-sides")).join(firsts, "h"), min_chars), "line-texts")
     place = F.struct("d", "t", "line_no", "h")
     variants = _variants(texts)
     groups = variants.groupBy("key").agg(*(F.min(F.when(F.col("kind") == k, place)).alias(f"first{k}") for k in range(3)), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
@@ -161,11 +163,11 @@ def _later_of_pairs(firsts: DataFrame, occurrences: DataFrame, docs: DataFrame,
     return pairs.join(one, "h").join(two, "g").filter(F.levenshtein("x", "y", 1) == 1).select("h").distinct()
 
 
-def kept_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1, exact_chars: int | None = None) -> DataFrame:
-    """(d, t, kept_lines): numbers of the lines that stay, per document with lines that take part."""
+def kept_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1) -> DataFrame:
+    """(d, t, kept_lines): numbers of the lines that stay, per document with lines that are not blank."""
     if max_edits not in (0, 1):
         raise ValueError("the edit bound is 0 or 1")
-    occurrences = materialise(_occurrences(docs, min_chars, max_edits, min_chars if exact_chars is None else min(exact_chars, min_chars)), "line-occurrences")
+    occurrences = materialise(_occurrences(docs, min_chars, max_edits), "line-occurrences")
     firsts = occurrences.groupBy("h").agg(F.min(F.struct(*POSITION)).alias("p")).select("h", "p.*")
     kept = firsts
     if max_edits:
@@ -175,26 +177,28 @@ def kept_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1, exact_c
     return kept.groupBy("d", "t").agg(F.collect_list("line_no").alias("kept_lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_edits: int = 1, length_col: str | None = None, exact_chars: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_edits: int = 1, length_col: str | None = None) -> DataFrame:
     """docs with the removed lines cut from the text, n_lines and n_removed; length_col is brought up to date."""
     names = docs.columns
     text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
     keyed = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("d"),
         F.xxhash64(text_or_empty(text_col)).alias("t"),
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"),
     )
-    kept = kept_lines(keyed.select("d", "t", text.alias("text")), min_chars, max_edits, exact_chars)
-    least = min_chars if exact_chars is None else min(exact_chars, min_chars)
+    kept = kept_lines(keyed.select("d", "t", text.alias("text")), min_chars, max_edits)
 
-    @F.udf("struct<text:string,n_lines:long,n_removed:long>", useArrow=True)
-    def cut(text, lines):
-        stay, all_lines, eligible = set(lines or ()), text.split("\n"), dict(lines_of(text, least))
-        out = [x for k, x in enumerate(all_lines) if k not in eligible or k in stay]
-        return "\n".join(out), len(all_lines), len(all_lines) - len(out)
+    @F.pandas_udf("struct<text:string,n_lines:long,n_removed:long>")
+    def cut(texts: pd.Series, stay: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, lines in zip(texts, stay, strict=True):
+            kept, every, open_ = set(() if lines is None else lines), text.split("\n"), {k for k, _ in lines_of(text)}
+            out = [x for k, x in enumerate(every) if k not in open_ or k in kept]
+            rows.append(("\n".join(out), len(every), len(every) - len(out)))
+        return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
     joined = keyed.join(kept, ["d", "t"], "left").withColumn("new", cut(text, "kept_lines"))
-    columns = [F.col("new.text").alias(c) if c == text_col else F.char_length("new.text").cast("long").alias(c) if c == length_col else F.col(f"row.`{c}`") for c in names]
+    columns = [F.col("new.text").alias(c) if c == text_col else F.char_length("new.text").cast("long").alias(c) if c == length_col else F.col(f"row.`{c}`") for c in names if c not in ("n_lines", "n_removed")]
     return joined.select(*columns, F.col("new.n_lines").alias("n_lines"), F.col("new.n_removed").alias("n_removed"))
 
 
@@ -208,17 +212,17 @@ OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS raw FROM d),
 n AS (SELECT doc_id, k, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x FROM l),
-f AS MATERIALIZED (SELECT x, length(x) AS n, min(doc_id * 1000000 + k) AS p FROM n WHERE length(x) >= 20 GROUP BY x),
+f AS MATERIALIZED (SELECT x, length(x) AS n, min(doc_id * 1000000 + k) AS p FROM n WHERE x <> '' GROUP BY x),
 k AS MATERIALIZED (
   SELECT x, n, p, unnest(['P' || n || ' ' || left(x, n // 2), 'S' || n || ' ' || right(x, n - n // 2),
-                          'P' || (n - 1) || ' ' || left(x, (n - 1) // 2), 'S' || (n - 1) || ' ' || right(x, n - 1 - (n - 1) // 2)]) AS key FROM f),
+                          'P' || (n - 1) || ' ' || left(x, (n - 1) // 2), 'S' || (n - 1) || ' ' || right(x, n - 1 - (n - 1) // 2)]) AS key FROM f WHERE n >= 20),
 near AS (
   SELECT DISTINCT b.x FROM k a JOIN k b ON a.key = b.key AND a.p < b.p
   WHERE CASE WHEN a.n = b.n THEN list_sum(list_transform(range(1, a.n + 1), lambda i: (a.x[i] <> b.x[i])::INT)) = 1
              WHEN a.n > b.n THEN list_bool_or(list_transform(range(1, a.n + 1), lambda i: left(a.x, i - 1) || substr(a.x, i + 1) = b.x))
              ELSE list_bool_or(list_transform(range(1, b.n + 1), lambda i: left(b.x, i - 1) || substr(b.x, i + 1) = a.x)) END),
 kept AS (
-  SELECT n.doc_id, n.k, n.raw FROM n LEFT JOIN f ON n.x = f.x AND length(n.x) >= 20
+  SELECT n.doc_id, n.k, n.raw FROM n LEFT JOIN f ON n.x = f.x
   WHERE f.x IS NULL OR (f.p = n.doc_id * 1000000 + n.k AND n.x NOT IN (SELECT x FROM near))),
 t AS (SELECT doc_id, count(*) AS c, string_agg(raw, chr(10) ORDER BY k) AS text FROM kept GROUP BY doc_id)
 SELECT d.doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(c, 0))::BIGINT AS n_removed,

@@ -75,7 +75,7 @@ def brute_lines(rows, least, edits):
     def near(a, b):
         if a == b:
             return True
-        if not edits or abs(len(a) - len(b)) > 1:
+        if not edits or abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < least:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b, strict=True)) == 1
@@ -87,7 +87,7 @@ def brute_lines(rows, least, edits):
         kept = []
         for raw in (t or "").split("\n"):
             x = raw.strip(" \t\x0b\x0c\r")
-            if len(x) >= least:
+            if x:
                 gone = any(near(x, y) for y in seen)
                 seen.append(x)
                 if gone:
@@ -109,9 +109,20 @@ def test_line_dedup(spark, edits):
 
     rows = [(k, "\n".join(variant() for _ in range(rng.randrange(6)))) for k in range(40)] + [(90, None), (91, ""), (None, "abcabcabc\n\nabcabcabc"), (92, "z" * 3000 + "\n" + "z" * 2999)]
     df = spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, n_removed int")
-    got = line_dedup.dedup_lines(df.drop("n_removed"), min_chars=5, max_edits=edits)
-    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == brute_lines(rows, 5, edits)
-    assert line_dedup.dedup_lines(df.drop("n_removed").limit(0)).count() == 0
+    got = line_dedup.dedup_lines(df, min_chars=5, max_edits=edits)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    found = got.collect()
+    assert sorted([(r.doc_id, r.text) for r in found], key=str) == brute_lines(rows, 5, edits)
+    assert all(r.n_lines - r.n_removed == len(r.text.split("\n")) for r in found if r.n_lines > r.n_removed)
+    assert line_dedup.dedup_lines(df.limit(0)).collect() == []
+
+
+def test_line_dedup_of_repeated_rows_and_null_ids(spark):
+    rows = [(2, "same line\nown"), (2, "same line\nown"), (None, "same line\nlast"), (1, "same line")]
+    got = line_dedup.dedup_lines(spark.createDataFrame([(d, t, "x", 1, 2) for d, t in rows], "doc_id long, text string, new string, d int, kept_lines int")).collect()
+    # repeated rows are one document; a null id comes last
+    assert sorted([(r.doc_id, r.text) for r in got], key=str) == sorted([(1, "same line"), (2, "own"), (2, "own"), (None, "last")], key=str)
+    assert {(r.new, r.d, r.kept_lines) for r in got} == {("x", 1, 2)}
 
 
 def test_links_that_no_pivot_sees(spark, monkeypatch):
