@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. The last returns doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids.
+
+Defined results for odd input in every stage: a null text is empty (the rules reject it, as it has
+too few words); a null doc_id, lang or source stays null; repeated rows are documents of their own,
+but for the near-duplicate stage, which keeps one of them, and the line stage, which treats them
+alike; an empty table gives an empty table; further columns pass through all stages but the last.
 """
 
 from pagewright.llm import bpe, line_dedup, minhash_dedup, quality_rules, source_mixing
@@ -14,8 +19,8 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def line_stage(spark, docs, sf_dir):
-    """Lines within one edit of an earlier line go, short ones (not blank) if equal to one; n_chars follows the text. No document goes."""
-    return line_dedup.dedup_lines(docs, length_col="n_chars", exact_chars=1).select(*docs.columns)
+    """Lines within one edit of an earlier line go, short ones if equal to one; n_chars follows the text. No document goes."""
+    return line_dedup.dedup_lines(docs, length_col="n_chars").select(*docs.columns)
 
 
 def near_stage(spark, docs, sf_dir):
