@@ -171,8 +171,8 @@ def neighbours(rows: DataFrame, key: str, order: list[str], value: str) -> DataF
     return rows.withColumn("previous", F.lag(value).over(w)).withColumn("next", F.lead(value).over(w)).withColumn("changed", ~F.coalesce(F.col("previous").eqNullSafe(F.col(value)), F.lit(False)))
 
 
-def near_duplicate_window(leaves: DataFrame, key: str, pos: str, signature: str, back: int = 30, least: float = 0.9) -> DataFrame:
-    """(key, pos, like): leaves whose signature matches one of the last ``back`` leaves (earliest such).
+def near_duplicate_window(leaves: DataFrame, key: str, pos: str, signature: str, back: int = 30, least: float = 0.9, letters: int = 0) -> DataFrame:
+    """(key, pos, like): leaves whose signature, of more than ``letters``, matches one of the last ``back`` leaves (earliest such).
 
     Positions are cut into buckets of ``back`` so that the range join is an equi-join on
     neighbouring buckets; lengths and letter counts bound the ratio before Python sees a pair.
@@ -181,7 +181,7 @@ def near_duplicate_window(leaves: DataFrame, key: str, pos: str, signature: str,
 
     a = leaves.select(key, pos, F.col(signature).alias("s")).withColumn("b", F.floor(F.col(pos) / back))
     old = a.select(key, F.col(pos).alias("like"), F.col("s").alias("t"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
-    pairs = a.join(old, [key, "b"]).filter((F.col("like") < F.col(pos)) & (F.col("like") >= F.col(pos) - back))
+    pairs = a.filter(F.length("s") > letters).join(old, [key, "b"]).filter((F.col("like") < F.col(pos)) & (F.col("like") >= F.col(pos) - back))
     bound = 2 * F.least(F.length("s"), F.length("t")) > least * (F.length("s") + F.length("t"))
     hits = pairs.filter(bound & (F.length("s") > 0)).distinct().withColumn("r", ratio_above("s", "t", F.lit(least))).filter(F.col("r") > least)
     return hits.groupBy(key, pos).agg(F.min("like").alias("like"))

@@ -115,17 +115,17 @@ def prev_next_section(spark, sf):
 
 @query()
 def steady_runs(spark, sf):
-    """A fixpoint over runs; tested on written cases."""
+    """A fixpoint over runs; checked by ``steady_offsets``."""
     v = runs(spark, sf).filter("cand is not null").withColumn("off", F.col("cand") - F.col("pos"))
     return P.steady_runs(v, "k", "pos", "off")
 
 
 @query()
 def near_duplicate_window(spark, sf):
-    """Longest-block similarity has no SQL; tested on written cases."""
+    """Longest-block similarity has no SQL; checked by ``rescanned_leaves`` and against brute force. A signature is 240 letters."""
     d = table(spark, sf, "documents").select("source", "doc_id", F.left(T.norm_head(F.col("text")), F.lit(240)).alias("sig"))
     d = d.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return P.near_duplicate_window(d.filter(F.length("sig") > 100), "source", "pos", "sig")
+    return P.near_duplicate_window(d, "source", "pos", "sig", letters=120)
 
 
 @query("""
@@ -328,7 +328,7 @@ def search_records(spark, sf):
 
 @query()
 def leaf_heads(spark, sf):
-    """Running heads need lookaround; tested on written cases."""
+    """Running heads need lookaround; checked by ``page_heads``."""
     from ..operators.articles import leaf_features
 
     d = table(spark, sf, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
@@ -337,12 +337,13 @@ def leaf_heads(spark, sf):
 
 @query()
 def article_sessions(spark, sf):
-    """A fold with similarity; tested on written cases. Lines are paragraphs, short first lines open articles."""
+    """A fold with similarity, checked by ``article_titles``. Documents are volumes, lines paragraphs, headings open articles."""
     from ..operators.articles import article_ranges, assign_articles
 
-    l = lines(spark, sf).withColumn("vol", F.regexp_extract("source", "[0-9]+", 0).cast("int")).withColumn("seq", F.row_number().over(Window.partitionBy("vol").orderBy("doc_id", "line_no")))
-    start = F.when((F.col("line_no") == 0) & (F.length("line") < 200), "title")
-    paras = l.select("vol", F.col("lang").alias("issue"), "seq", F.col("doc_id").cast("int").alias("page"), F.col("line").alias("t"), (F.col("line_no") == 0).alias("is_head"), start.alias("start"))
+    l = lines(spark, sf)
+    head = T.headlike(F.col("line")) & (F.length("line") < 120)
+    start = F.when((F.col("line_no") == 0) | head, "title")
+    paras = l.select(F.col("doc_id").alias("vol"), F.col("lang").alias("issue"), F.col("line_no").alias("seq"), F.floor(F.col("line_no") / 40).cast("int").alias("page"), F.col("line").alias("t"), head.alias("is_head"), start.alias("start"))
     return article_ranges(assign_articles(paras))
 
 

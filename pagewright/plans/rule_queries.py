@@ -427,3 +427,117 @@ def drill_down(spark, sf):
     r = F.row_number().over(Window.orderBy(F.desc("v"), "o_orderkey")).cast("bigint") - 1  # a hundred rows
     found = F.contains(F.lower("h"), F.lit("urgent of")) | F.startswith("h", F.lit("2"))
     return top.withColumn("r", r).select("o_orderkey", (F.col("r") % 20).alias("place"), F.floor(F.col("r") / 20).alias("page"), found.alias("found"))
+
+
+# written and read back
+@query("""
+SELECT doc_id % 7 AS vol, doc_id AS page_seq, len(ls)::INT AS n, md5(array_to_string(ls, '|')) AS digest FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) WHERE doc_id % 7 < 3""")
+def volumes_read_back(spark, sf):
+    """Documents as pages of nested volumes in JSON; three volumes are read, the others' folders are not."""
+    paras = table(spark, sf, "documents").select((F.col("doc_id") % 7).alias("vol"), F.col("doc_id").alias("page_seq"), F.posexplode(F.split("text", "\n")).alias("para_seq", "t"))
+    path = writers.scratch(spark, "volumes")
+    writers.write_volumes(writers.nest_paragraphs(paras, ["vol", "page_seq"]), path)
+    back = spark.read.schema("vol long, page_seq long, paras array<struct<t:string>>").json(path).filter("vol < 3")
+    return back.select("vol", "page_seq", F.size("paras").alias("n"), F.md5(F.array_join(F.transform("paras", lambda x: x["t"]), "|")).alias("digest"))
+
+
+@query("SELECT p_partkey, p_name, p_retailprice, CASE WHEN p_partkey % 5 = 0 THEN 'a, \"b\"' END AS note FROM part")
+def flat_file_read_back(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice", F.when(key() % 5 == 0, 'a, "b"').alias("note"))
+    path = writers.scratch(spark, "flat")
+    writers.write_csv(rows, path)
+    return readers.read_csv(spark, path, "p_partkey long, p_name string, p_retailprice double, note string")
+
+
+@query("SELECT count(*) AS n, sum(length(line))::BIGINT AS chars FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)")
+def text_files_read_back(spark, sf):
+    d = table(spark, sf, "documents").select(F.split("text", "\n").alias("lines"))
+    path = writers.scratch(spark, "lines")
+    writers.write_lines(d, path)
+    whole = readers.read_texts(spark, path).select(F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("line"))
+    return whole.agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("line")).alias("chars"))
+
+
+@query("SELECT '# Checks' || chr(10) || chr(10) || '| metric | value |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || r_name || ' | ' || r_regionkey || ' |', chr(10) ORDER BY r_name) || chr(10) AS report FROM region")
+def check_report(spark, sf):
+    r = table(spark, sf, "region").select(F.col("r_name").alias("name"), s(F.col("r_regionkey")).alias("value"))
+    return spark.createDataFrame([(writers.metric_report(r, "Checks"),)], "report string")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'missing' WHEN c_nationkey = 5 THEN 'reordered' END AS override FROM customer""")
+def overridden_leaves(spark, sf):
+    """Overrides by hand (a JSON object, keys with an underscore are comments) onto leaves."""
+    path = writers.scratch(spark, "overrides")
+    spark.createDataFrame([('{"_note": {"x": 1}, "3": {"kind": "missing"}, "5": {"kind": "reordered"}}',)], "value string").coalesce(1).write.text(path)
+    o = readers.read_overrides(spark, path).select(F.col("key").cast("int").alias("c_nationkey"), F.get_json_object("body", "$.kind").alias("override"))
+    return table(spark, sf, "customer").join(F.broadcast(o), "c_nationkey", "left").select("c_custkey", "override")  # a list by hand
+
+
+# looked up and filtered
+@query("""
+WITH a AS (SELECT c_nationkey AS vol, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) * 10 AS p0 FROM customer)
+SELECT o_orderkey, a.id AS article, n_name AS kind, CASE WHEN a.id % 4 = 0 THEN 'own' WHEN r_name LIKE 'A%' THEN 'region' ELSE 'none' END AS filled
+FROM orders o JOIN a ON o.o_custkey % 25 = a.vol AND o_orderkey % 300 BETWEEN a.p0 AND a.p0 + 9 JOIN nation n ON n.n_nationkey = a.vol JOIN region r ON r.r_regionkey = n.n_regionkey""")
+def pages_to_articles(spark, sf):
+    """A page's article by range, its volume's kind by key, and a value filled from the first table that has one."""
+    from ..operators.linkage import first_of, range_join
+
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("vol"), F.col("c_custkey").alias("id"))
+    a = c.withColumn("p0", F.row_number().over(Window.partitionBy("vol").orderBy("id")) * 10).withColumn("p1", F.col("p0") + 9)
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 25).cast("int").alias("vol"), (F.col("o_orderkey") % 300).alias("page"))
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    found = range_join(o, a, "vol", "page", "p0", "p1", 10).join(n.select(F.col("n_nationkey").alias("vol"), F.col("n_name").alias("kind")), "vol")
+    own = a.filter("id % 4 = 0").select("id", F.lit("own").alias("filled"))
+    region = a.join(n.filter("r_name like 'A%'"), F.col("vol") == F.col("n_nationkey")).select("id", F.lit("region").alias("filled"))
+    filled = first_of(found.withColumn("filled", F.lit(None).cast("string")).drop("filled"), "id", [("own", own), ("region", region)], "filled")
+    return filled.select("o_orderkey", F.col("id").alias("article"), "kind", F.coalesce("filled", F.lit("none")).alias("filled"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, lang, quality, toxic, len(string_split(text, ' ')) AS wc, regexp_matches(text, '(?i)\bthe of\b') AS named, row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 AS first FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, coalesce(quality = 1 OR named OR first, false) AS marked, lang <> 'en' AS away, wc >= 300 AND lang IN ('en', 'fr') AND toxic IS NOT NULL AS pooled FROM d""")
+def measure_pool(spark, sf):
+    """Texts marked by hand, by pattern or as the first of their source; away by language; pooled by length, group and a measure."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").withColumn("first", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) == 1)
+    marked = F.coalesce((F.col("quality") == 1) | F.col("text").rlike(r"(?i)\bthe of\b") | F.col("first"), F.lit(False))
+    return d.select("doc_id", marked.alias("marked"), (F.col("lang") != "en").alias("away"), ((F.size(F.split("text", " ")) >= 300) & F.col("lang").isin("en", "fr") & F.col("toxic").isNotNull()).alias("pooled"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Catalogus' WHEN p_partkey % 4 = 1 THEN 'Summer retreats' WHEN p_partkey % 4 = 2 THEN 'Students of the year' ELSE p_name END AS head, p_size FROM part)
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'catalogue' WHEN 1 THEN 'retreats' WHEN 2 THEN 'students' END AS kind, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_size, p_partkey)::INT AS place FROM p WHERE p_partkey % 4 < 3 AND p_size >= 8""")
+def table_kinds(spark, sf):
+    """The first pattern that a table's heading meets, for tables of eight lines or more, in registry order."""
+    from ..operators.discourse import classify
+
+    k = key() % 4
+    head = F.when(k == 0, "Catalogus").when(k == 1, "Summer retreats").when(k == 2, "Students of the year").otherwise(F.col("p_name"))
+    p = table(spark, sf, "part").withColumn("head", head).filter("p_size >= 8")
+    rules = [("catalogue", F.col("head").rlike("(?i)^catalog")), ("retreats", F.col("head").rlike("(?i)retreats?")), ("students", F.col("head").rlike("(?i)students"))]
+    kinds = classify(p, rules, "none").filter("register <> 'none'")
+    return kinds.select("p_partkey", F.col("register").alias("kind"), F.row_number().over(Window.partitionBy("register").orderBy("p_size", "p_partkey")).alias("place"))
+
+
+# readings of a run with one stray or one sandwiched stretch, which go
+@query("SELECT c_custkey, p::INT AS pos, 10 AS off FROM customer, range(1, 13) r(p) WHERE NOT (p = 6 OR (c_custkey % 2 = 0 AND p = 7))")
+def steady_offsets(spark, sf):
+    from ..operators.pages import steady_runs
+
+    c = table(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("pos"))
+    stray = (F.col("pos") == 6) | ((F.col("c_custkey") % 2 == 0) & (F.col("pos") == 7))
+    return steady_runs(c.withColumn("off", F.when(stray, 40).otherwise(10)), "c_custkey", "pos", "off")
+
+
+@query("SELECT c_custkey, 12 AS pos, 3 AS seen FROM customer WHERE c_custkey % 3 = 0")
+def rescanned_leaves(spark, sf):
+    """A leaf scanned again within thirty leaves, with a few letters read otherwise; in every third issue it lies too far off."""
+    from ..operators.pages import near_duplicate_window
+
+    c = table(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k"))
+    far = F.col("c_custkey") % 3 != 0
+    pos = F.when((F.col("k") == 12) & far, 99).otherwise(F.col("k"))
+    text = F.concat(*(F.translate(F.md5(F.concat(s(F.col("c_custkey")), F.lit(f"-{j}-"), s(F.when(F.col("k") == 12, 3).otherwise(F.col("k"))))), "0123456789abcdef", "ABCDEFGHIKLMNOPQ") for j in range(6)))
+    read = F.when(F.col("k") == 12, F.concat(F.left(text, F.lit(100)), F.lit("XYZ"), F.substring(text, F.lit(104), F.length(text)))).otherwise(text)
+    got = near_duplicate_window(c.select("c_custkey", pos.alias("pos"), read.alias("sig")), "c_custkey", "pos", "sig")
+    return got.select("c_custkey", "pos", F.col("like").alias("seen"))

@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; it is deleted when the application ends.
+
+    Where spark.checkpoint.dir is unset, only a session whose executors are threads of this machine
+    gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="pagewright-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def write_volumes(pages: DataFrame, path: str) -> None:
     """Rows (vol, page_seq, …) as one nested JSON partition per volume, pages in order.
 

@@ -52,6 +52,20 @@ def test_near_duplicate_window(spark):
     assert [(r.pos, r.like) for r in got] == [(25, 1)]
 
 
+def test_near_duplicate_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("source", "doc_id").collect():
+        rows.setdefault(r.source, []).append("".join(c for c in (r.text or "").upper().replace("ß", "SS") if "A" <= c <= "Z")[:240])
+    want = set()
+    for source, sigs in rows.items():
+        for k, sig in enumerate(sigs):
+            like = [j for j in range(max(0, k - 30), k) if len(sig) > 120 and difflib.SequenceMatcher(None, sig, sigs[j], autojunk=False).ratio() > 0.9]
+            want |= {(source, k + 1, like[0] + 1)} if like else set()
+    got = {(r.source, r.pos, r.like) for r in registry.QUERIES["near_duplicate_window"](spark, sf).collect()}
+    assert got == want
+
+
 def test_person_mentions(spark):
     text = "Father Sabetti met Fr. J. J. Ryan and Cardinal Gibbons; Pope Pius X spoke. Father General and Father Rector De Smet came."
     df = spark.createDataFrame([(1, text), (2, None)], "id int, t string")
