@@ -6,8 +6,10 @@ every 512th bit) turns a place in one level into the place in the next. So the i
 is read by one rank per level, without decoding what stands before it.
 
 A file set is a Parquet folder of segments in ascending (shard, segment), shards being ranges
-of doc_id: doc ids and ends within the segment, and the code itself. Documents are never split
-over segments.
+of doc_id: doc ids and ends within the segment, and the code itself, which is not compressed, so
+that its bytes are addressed as they lie in the file. Documents are never split over segments.
+``read_token_files`` reads each document as a range of its segment's code; ``read_places`` reads
+single tokens of the whole file set by their place in it.
 
 Defined results for odd input: a null text is empty and holds only the end id; rows with equal
 doc_id stay together, ordered by text; null doc_ids come first; an empty table gives an empty
@@ -34,6 +36,8 @@ from .common import scratch_path, table, text_or_empty
 MAGIC = b"PWDAC001"
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 19
+#: Single places read at a time, and places of a segment that one row asks for.
+PLACES_AT_ONCE = 1 << 12
 #: Chunks up to this many bytes are remembered by the encoder, so many at most.
 MEMORY_BYTES, MEMORY_CHUNKS = 64, 1_300_000
 #: Plain words encoded as one text.
@@ -79,6 +83,8 @@ class Dac:
     def gather(self, places: np.ndarray) -> np.ndarray:
         """The ids at any places, each by one rank per level."""
         at = np.asarray(places, np.int64)
+        if len(at) > PLACES_AT_ONCE:
+            return np.concatenate([self.gather(at[k : k + PLACES_AT_ONCE]) for k in range(0, len(at), PLACES_AT_ONCE)])
         if len(at) and (at.min() < 0 or at.max() >= self.n):
             raise IndexError("place outside the code")
         out, live = np.zeros(len(at), np.uint32), np.arange(len(at))
@@ -99,15 +105,30 @@ class Dac:
             at = ranks[block].astype(np.int64) + ones.sum(1, dtype=np.int64)
         return out
 
-    def all(self) -> np.ndarray:
-        """Every id: levels are unfolded from the last to the first."""
-        higher = np.zeros(0, np.uint32)
-        for chunks, bits, _ in reversed(self.levels):
-            more = np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)
-            out = chunks.astype(np.uint32)
-            out[more] |= higher << np.uint32(8)
-            higher = out
-        return higher
+    def _rank(self, level: int, at: int) -> int:
+        """Ones before a place in a level's bitmap, by its directory and less than a block of bits."""
+        _, bits, ranks = self.levels[level]
+        block = at // RANK_BITS
+        if block == len(ranks):
+            return len(self.levels[level + 1][0]) if level + 1 < len(self.levels) else 0
+        rest = int.from_bytes(bits[block * (RANK_BITS // 8) : -(-at // 8)].tobytes(), "little") & ((1 << (at - block * RANK_BITS)) - 1)
+        return int(ranks[block]) + rest.bit_count()
+
+    def read(self, start: int, end: int, level: int = 0) -> np.ndarray:
+        """The ids of a range of places: on each level a range, whose start is one rank away."""
+        if level == 0 and not 0 <= start <= end <= self.n:
+            raise IndexError("range outside the code")
+        if start == end:
+            return np.zeros(0, np.uint32)
+        chunks, bits, _ = self.levels[level]
+        out = chunks[start:end].astype(np.uint32)
+        if level + 1 < len(self.levels):
+            lead = start & 7
+            more = np.unpackbits(bits[start >> 3 : (end + 7) >> 3], bitorder="little")[lead : lead + end - start].view(bool)
+            if n := int(np.count_nonzero(more)):
+                first = self._rank(level, start)
+                out[more] |= self.read(first, first + n, level + 1) << np.uint32(8)
+        return out
 
 
 class LibraryEncoder:
@@ -221,34 +242,67 @@ def write_token_files(docs: DataFrame, path: str, vocab_path: str, end_id: int,
             yield flush()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(run, SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str, digests_only: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and, unless digests_only, the ids (binary) of every document."""
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    """The segments with ``first``, the number of ids before their shard."""
     segments = spark.read.schema(SEGMENTS).parquet(path)
     # One row per shard, so no more than the writing job had partitions.
     shards = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     first = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    return segments.join(F.broadcast(first), "shard")
+
+
+def read_places(spark: SparkSession, path: str, places: DataFrame, place_col: str = "place") -> DataFrame:
+    """(place, id) of single places, counted over the whole file set; null for places outside it.
+
+    A place meets its segment through buckets, and is read there by rank. Repeated places give
+    one row, a null place none.
+    """
+    asked = places.select(F.col(place_col).cast("long").alias("place")).filter("place is not null").distinct().withColumn("bucket", F.floor(F.col("place") / SEGMENT_TOKENS))
+    held = _segments(spark, path)
+    begin = F.col("first") + F.col("shard_start")
+    where = held.select("shard", "segment", begin.alias("begin"), (begin + F.col("n_tokens")).alias("end"))
+    where = where.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("begin") / SEGMENT_TOKENS), F.floor((F.col("end") - 1) / SEGMENT_TOKENS))))
+    found = asked.join(where, "bucket").filter((F.col("place") >= F.col("begin")) & (F.col("place") < F.col("end")))
+    # distinct places of so many tokens in a row: no group is larger
+    grouped = found.groupBy("shard", "segment", "begin", F.floor((F.col("place") - F.col("begin")) / PLACES_AT_ONCE).alias("part")).agg(F.collect_list("place").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at = np.array(batch.column(1)[k].as_py(), np.int64)
+                ids = Dac(batch.column(2)[k].as_buffer()).gather(at - batch.column(0)[k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids.astype(np.int64))], names=["place", "id"])
+
+    got = grouped.join(held.select("shard", "segment", "code"), ["shard", "segment"]).select("begin", "places", "code").mapInArrow(run, "place long, id long")
+    return asked.select("place").join(got, "place", "left")
+
+
+def read_token_files(spark: SparkSession, path: str, digests_only: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, unless digests_only, the ids (binary) of every document."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if digests_only else ", ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, ends = Dac(row["code"]).all(), np.frombuffer(row["ends"], np.uint64).astype(np.int64)
-                starts, raw = np.concatenate([[0], ends[:-1]]), memoryview(ids.tobytes())
-                docs = np.frombuffer(row["doc_ids"], np.int64)
+            for k in range(batch.num_rows):
+                first, shard_start = (batch.column(c)[k].as_py() for c in (0, 1))
+                ids, ends, code = (batch.column(c)[k].as_buffer() for c in (2, 3, 4))
+                docs, ends, code = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.uint64).astype(np.int64), Dac(code)
+                starts = np.concatenate([[0], ends[:-1]])
+                raw = [code.read(a, b).tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 columns = [
                     pa.array(docs, mask=docs == -(1 << 63)),
-                    pa.array(starts + (row["first"] + row["shard_start"])),
+                    pa.array(starts + (first + shard_start)),
                     pa.array(ends - starts),
-                    pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64()),
+                    pa.array([zlib.crc32(x) for x in raw], pa.int64()),
                 ]
                 if not digests_only:
-                    columns.append(pa.array([bytes(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()))
+                    columns.append(pa.array(raw, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return segments.join(F.broadcast(first), "shard").select("first", "shard_start", "doc_ids", "ends", "code").mapInArrow(run, schema)
+    return _segments(spark, path).select("first", "shard_start", "doc_ids", "ends", "code").mapInArrow(run, schema)
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
