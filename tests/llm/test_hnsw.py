@@ -47,3 +47,10 @@ def test_empty_and_few(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (20, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert search(df.limit(0), df.limit(0)).count() == 0
     assert [(r.query_id, r.vec_id) for r in search(df, df.filter("vec_id = 20")).collect()] == [(20, 1)]
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, [1.0, 2.0], 7, 7, 7), (1, [1.0, 2.0], 7, 7, 7), (20, [2.0, 1.0], 7, 7, 7), (3, [0.5, 0.5], 7, 7, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score int, shard int")
+    got = search(df, df.filter("vec_id = 20"), k=5).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(20, 1, 1, 4.0), (20, 2, 3, 1.5)]

@@ -70,3 +70,25 @@ def test_take(spark):
         again = [r.text for r in source_mixing.take(df, keys, weights, budget=budget, max_epochs=epochs).collect()]
         assert sorted(texts) == sorted(again)
     assert source_mixing.mix(df.limit(0), keys, weights).count() == 0
+
+
+def test_rules_on_repeated_rows_null_ids_and_clashing_columns(spark):
+    good = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, good, "a", 5, False, True), (1, good, "a", 5, False, True), (None, good, "a", 5, False, True), (None, "few words", None, 5, False, True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, kept boolean, base_failed boolean")
+    got = sorted((str(r.doc_id), r.n_words, r.base_failed, r.kept) for r in quality_rules.judge(df).collect())
+    assert got == [("1", 40, False, True), ("1", 40, False, True), ("None", 2, True, False), ("None", 40, False, True)]
+    kept = quality_rules.keep_good(df)
+    assert kept.columns == df.columns and sorted(str(tuple(r)) for r in kept.collect()) == sorted(str(r) for r in rows[:3])
+    assert quality_rules.judge(df.limit(0)).collect() == [] and quality_rules.keep_good(df.limit(0)).columns == df.columns
+
+
+def test_mixing_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(1, "a b c d", "x", "p", 9, 9), (1, "a b c d", "x", "p", 9, 9), (None, "e f", "x", None, 9, 9), (2, "", "y", "p", 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a string, b string, budget int, n_tokens int")
+    keys, weights = levels()
+    every = source_mixing.take(df, keys, weights, budget=(1, 1), max_epochs=1)
+    assert every.columns == df.columns and sorted(str(tuple(r)) for r in every.collect()) == sorted(str(r) for r in rows[:3])
+    part = [r.text for r in source_mixing.take(df, keys, weights, budget=(1, 2), max_epochs=1).collect()]
+    assert sum(len(t.split()) for t in part) == 5
+    assert source_mixing.take(df.limit(0), keys, weights).collect() == []
