@@ -19,8 +19,15 @@ SECTIONS = {"VARIA": "Varia", "OBITUARY": "Obituary", "SUPPLEMENT": "Supplement"
 #: Words that cannot end a title, and words that a second title line may open with; fixed values.
 RUNS_ON = "of the and in on at to for an with from between among amongst into upon".split()
 RUNS_IN = "in on at to into for and among amongst".split()
-#: A line with the number of a volume and issue, and lines that are only parts of a masthead; fixed values.
+#: A line with the number of a volume and issue; fixed value.
 VOLUME_LINE = r"(?i)^\W*V[O0][LIl1]\w*[.,]*\s+[XVLIl1]+\b"
+#: A title in capitals run into its first line of ordinary type; a name that stands for a notice's title; a life's dates and places; fixed values.
+RUN_IN_TITLE = r"^([A-Z][A-Z0-9 ,.'’&—-]{10,}?[.:])\s+(?=[A-Z][a-z]|A\s+[A-Za-z])"
+NAME_ALONE = r"^((?:Father|Brother|F[rk]\.|B[rj]\.|Mr\.|Rev\.) [A-Z][\w.' :-]{2,50}?)\.?$"
+LIFE = r"^\s*(\d{4})?;?\s*(.*?)\s+–\s+(\d{4})?;?\s*(.*)$"
+#: What opens the entry of a person in an index; fixed values.
+PERSON_ENTRY = r"^(?:Fr|Ft|Br|Bro|Mr|Rev|Father|Brother)\b"
+#: Lines that are only parts of a masthead; fixed values.
 MASTHEAD_LINES = {"motto": r"(?i)^A\.?\s*M\.?\s*D\.?\s*G\.?$", "article": r"(?i)^THE$", "volume": r"(?i)^VOL\.?\s*[XVLI]+[.,]*\s*(?:No\.?\s*\w+\.?)?$"}
 
 
@@ -87,9 +94,8 @@ def join_title(lines: Column, most: int = 90) -> Column:
 
 def run_in_title(text: Column) -> Column:
     """(title, rest) of a paragraph that opens with its title in capitals, else null."""
-    pattern = r"^([A-Z][A-Z0-9 ,.'’&—-]{10,}?[.:])\s+(?=[A-Z][a-z]|A\s+[A-Za-z])"
-    title = F.regexp_extract(text, pattern, 1)
-    return F.when((title != "") & (F.regexp_count(title, F.lit("[A-Z]{2,}")) >= 2), F.struct(title.alias("title"), F.regexp_replace(text, pattern, "").alias("rest")))
+    title = F.regexp_extract(text, RUN_IN_TITLE, 1)
+    return F.when((title != "") & (F.regexp_count(title, F.lit("[A-Z]{2,}")) >= 2), F.struct(title.alias("title"), F.regexp_replace(text, RUN_IN_TITLE, "").alias("rest")))
 
 
 def without_masthead(body: Column, name: str, opening: Column, readable: Column | None = None) -> Column:
@@ -140,7 +146,7 @@ def sections(articles: DataFrame, title: str, subtitle: str, entry_section: str,
     An obituary by the index, or by a name line, is one whatever its title.
     """
     own = section_of(F.col(title))
-    named = F.regexp_extract(F.trim(following), r"^((?:Father|Brother|F[rk]\.|B[rj]\.|Mr\.|Rev\.) [A-Z][\w.' :-]{2,50}?)\.?$", 1)
+    named = F.regexp_extract(F.trim(following), NAME_ALONE, 1)
     parts = F.split(F.col(subtitle), " · ")
     promoted = own.isin("Supplement", "Obituary") & (F.coalesce(F.col(subtitle), F.lit("")) != "")
     by_name = (own == "Obituary") & ~F.coalesce(promoted, F.lit(False)) & (named != "")
@@ -295,7 +301,7 @@ def index_sections(entries: DataFrame, key: str, order: str, entry: str, section
     """
     w = Window.partitionBy(key)
     o = w.orderBy(order)
-    person = F.col(entry).rlike(r"^(?:Fr|Ft|Br|Bro|Mr|Rev|Father|Brother)\b")
+    person = F.col(entry).rlike(PERSON_ENTRY)
     seen = entries.withColumn("_last", F.coalesce(F.max(F.when((F.col(section) == "Articles") & ~F.col(by_comma), F.col(order))).over(w), F.lit(-1)))
     seen = seen.withColumn("_in", (F.col(section) == "Articles") & F.col(by_comma) & (F.col(order) > F.col("_last")))
     seen = seen.withColumn("_size", F.count_if("_in").over(w))
@@ -336,9 +342,8 @@ def texts_by_year(articles: DataFrame, article: str, year: str, members: DataFra
 
 def life_dates(description: Column) -> Column:
     """(born, born_at, died, died_at) of a description "1835; Place – 1901; Place"; what is missing is null."""
-    pattern = r"^\s*(\d{4})?;?\s*(.*?)\s+–\s+(\d{4})?;?\s*(.*)$"
-    part = lambda k: F.nullif(F.regexp_extract(description, pattern, k), F.lit(""))
-    return F.when(description.rlike(pattern), F.struct(part(1).cast("int").alias("born"), part(2).alias("born_at"), part(3).cast("int").alias("died"), part(4).alias("died_at")))
+    part = lambda k: F.nullif(F.regexp_extract(description, LIFE, k), F.lit(""))
+    return F.when(description.rlike(LIFE), F.struct(part(1).cast("int").alias("born"), part(2).alias("born_at"), part(3).cast("int").alias("died"), part(4).alias("died_at")))
 
 
 def leading_number(line: Column) -> Column:
