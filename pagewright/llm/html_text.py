@@ -3,15 +3,20 @@
 A page is read into blocks, each with its root-to-leaf path of block elements. Per path, text
 length and punctuation are aggregated over its blocks (the path ratios); the ratios are smoothed
 over the blocks in page order, fused into one score, and paths whose score reaches a threshold
-of the page's spread are content paths. The article or main element around all content paths, else
-the deepest container that covers them, then gives the article (blocks outside article and main
-count only where these hold no more than half of the content text): all its blocks, short ones and headings too, without the parts that
-HTML itself marks as something else (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments).
+of the page's spread are content paths.
+
+The content paths decide what the article is. Elements whose class, id or role names hint at
+something else (menus, sidebars, notices, adverts, reader comments) go only if most of the page's
+content lies outside them, or enough of it with a heading or article element: a wrapper that is
+called after a part of it stays. Article and main elements are kept to if they hold most of the
+content text. The article or main element around all content paths, else the deepest container
+that covers them, then gives the text: all its blocks, short ones and headings too, but for
+blocks of links outside or before the content. Elements that are never article text by HTML itself
+(menus, footers, sidebars, forms, scripts, styles, hidden ones) are not read.
 
 Defined results for odd input: null or empty html, or html without main text, gives the empty
 text; cut-off pages end where the text ends; repeated rows give repeated results; an empty
-table gives an empty table.
+table gives an empty table; a kept column called text or n_chars gives way to the new one.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose whole content is not article text.
 SKIPPED = frozenset("head nav footer aside form button select option textarea fieldset dialog menu iframe object canvas svg math audio video map template noscript noframes".split())
 RAW = ("script", "style", "title", "textarea", "xmp", "noscript", "noframes", "iframe", "template")
-#: Parts of class and id names, and roles, that mark something other than the article.
+#: Parts of class and id names, and roles, that hint at something other than the article.
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "sidebar sidenav aside footer masthead topbar toolbar comment comments commentlist respond disqus replies cookie cookies consent gdpr notice notices alert disclaimer "
@@ -52,12 +58,12 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 PUNCTUATION = re.compile(r"[.,;:!?。、，；：！？…]")
 
 
-def _attributes(raw: str) -> tuple[str, bool, str]:
-    """(label from class and id, marked as something else, role) of a start tag."""
-    names, marked, role = "", False, ""
+def _attributes(raw: str) -> tuple[str, bool, bool, str]:
+    """(label from class and id, hidden, hinted at as something else, role) of a start tag."""
+    names, hidden, marked, role = "", False, False, ""
     for m in ATTRIBUTE.finditer(raw):
         if m[5]:
-            marked = True
+            hidden = True
             continue
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
@@ -67,14 +73,23 @@ def _attributes(raw: str) -> tuple[str, bool, str]:
             role = value.strip()
             marked |= role in ROLES
         elif (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            marked = True
-    return names, marked, role
+            hidden = True
+    return names, hidden, marked, role
+
+
+class Block(NamedTuple):
+    """A block of text: its path, characters in links, and the hinted elements around it (by number)."""
 
+    path: tuple[str, ...]
+    text: str
+    linked: int
+    hints: tuple[int, ...] = ()
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each block outside skipped elements, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, label, skipped
-    out: list[tuple[tuple[str, ...], str, int]] = []
+
+def blocks(page: str) -> list[Block]:
+    """The blocks outside skipped elements, in page order."""
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, label, skipped, hinted elements open
+    out: list[Block] = []
     parts: list[str] = []
     linked, in_link, at, count = 0, False, 0, 0
 
@@ -83,7 +98,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(x[1] for x in stack), text, min(linked, len(text))))
+                out.append(Block(tuple(x[1] for x in stack), text, min(linked, len(text)), stack[-1][3] if stack else ()))
             parts.clear()
         linked = 0
 
@@ -122,34 +137,35 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         pop_to(("p",), FENCES["p"])
         if tag in CLOSES:
             pop_to(CLOSES[tag], FENCES.get(tag, ()))
-        names, marked, role = _attributes(m["attr"] or "")
+        names, hidden, marked, role = _attributes(m["attr"] or "")
         inside = any(x[0] in MAIN for x in stack)
-        own = tag in SKIPPED or marked and tag not in ("html", "body") or (tag == "header" and not inside)
+        own = tag in SKIPPED or hidden and tag not in ("html", "body") or (tag == "header" and not inside)
         kind = "main" if role == "main" else tag
         count += 1
+        hints = stack[-1][3] if stack else ()
         # Article containers stay apart from one another; other elements of a kind share a path.
-        stack.append((tag, f"{kind}{names}" + (f"@{count}" if kind in MAIN else ""), own or bool(stack and stack[-1][2])))
+        stack.append((tag, f"{kind}{names}" + (f"@{count}" if kind in MAIN else ""), own or bool(stack and stack[-1][2]), (*hints, count) if marked else hints))
     if at < len(page) and not (stack and stack[-1][2]):
         parts.append(page[at:])
     close()
     return out
 
 
-def path_scores(found: list[tuple[tuple[str, ...], str, int]], radius: int = 1) -> dict[tuple[str, ...], float]:
+def path_scores(found: list[Block], radius: int = 1) -> dict[tuple[str, ...], float]:
     """The fused, smoothed text and punctuation ratio of each path."""
     length, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, linked in found:
+    for path, text, linked, _ in found:
         length[path] += len(text) - linked
         marks[path] += len(PUNCTUATION.findall(text)) if not linked else 0
         nodes[path] += 1
-    text_ratio = [length[p] / nodes[p] for p, _, _ in found]
-    mark_ratio = [marks[p] / nodes[p] for p, _, _ in found]
+    text_ratio = [length[p] / nodes[p] for p, _, _, _ in found]
+    mark_ratio = [marks[p] / nodes[p] for p, _, _, _ in found]
     score, n = defaultdict(float), len(found)
     sums = [0.0], [0.0]
     for t, q in zip(text_ratio, mark_ratio, strict=True):
         sums[0].append(sums[0][-1] + t)
         sums[1].append(sums[1][-1] + q)
-    for i, (path, _, _) in enumerate(found):
+    for i, (path, _, _, _) in enumerate(found):
         lo, hi = max(0, i - radius), min(n, i + radius + 1)
         smooth = [(s[hi] - s[lo]) / (hi - lo) for s in sums]
         # half own ratio, half neighbourhood, so that one long block does not lift a menu beside it
@@ -173,7 +189,7 @@ def _article(content: set[tuple[str, ...]]) -> tuple[str, ...]:
     return common
 
 
-def _content(found: list[tuple[tuple[str, ...], str, int]], spread: float) -> set[tuple[str, ...]]:
+def _content(found: list[Block], spread: float) -> set[tuple[str, ...]]:
     """The paths whose score reaches a threshold of the spread."""
     scores = path_scores(found)
     mean = sum(scores.values()) / len(scores)
@@ -182,37 +198,66 @@ def _content(found: list[tuple[tuple[str, ...], str, int]], spread: float) -> se
     return {p for p, s in scores.items() if s > 0 and s >= limit}
 
 
-def _weight(found: list[tuple[tuple[str, ...], str, int]], content: set[tuple[str, ...]]) -> int:
+def _weight(found: list[Block], content: set[tuple[str, ...]]) -> int:
     """Characters outside links on content paths."""
-    return sum(len(text) - linked for path, text, linked in found if path in content)
+    return sum(len(b.text) - b.linked for b in found if b.path in content)
+
+
+def _headed(b: Block) -> bool:
+    """Does the block stand in an article or main element, or is it a first-order heading?"""
+    return any(_tag(x) in MAIN or _tag(x) == "h1" for x in b.path)
+
+
+def _without_hinted(found: list[Block], spread: float, rest_share: float = 0.05) -> list[Block]:
+    """The blocks outside hinted elements, but for wrappers of the page's content.
+
+    Elements are judged from the one with the most content down. One with more than half of the
+    content left stays, unless what lies outside it has ``rest_share`` of the content and a
+    heading or article element: then that is the article, and this is, say, a long discussion.
+    """
+    hints = sorted({h for b in found for h in b.hints})
+    if not hints:
+        return found
+    content = _content(found, spread)
+    weight = {h: _weight([b for b in found if h in b.hints], content) for h in hints}
+    for h in sorted(hints, key=lambda h: (-weight[h], h)):
+        within, rest = [b for b in found if h in b.hints], [b for b in found if h not in b.hints]
+        held, other = _weight(within, content), _weight(rest, content)
+        elsewhere = other >= rest_share * (held + other) and any(_headed(b) for b in rest)
+        if held <= other or elsewhere:
+            found = rest
+    return found
 
 
 def main_text(page: str | None, spread: float = 0.5) -> str:
     """The article of a page: its blocks in page order, joined by blank lines."""
-    found = blocks(page or "")
+    found = _without_hinted(blocks(page or ""), spread)
     if not found:
         return ""
     content = _content(found, spread)
-    inside = [b for b in found if any(_tag(x) in MAIN for x in b[0])]
+    inside = [b for b in found if any(_tag(x) in MAIN for x in b.path)]
     if len(inside) < len(found) and 2 * _weight(inside, content) > _weight(found, content):
         found = inside
         content = _content(found, spread)
     if not content:
         return ""
     container = _article(content)
-    kept = []
-    for path, text, linked in found:
-        # within the article only lists and cells of links are menus
+    closed = any(_tag(x) in MAIN for x in container)
+    kept, begun = [], False
+    for path, text, linked, _ in found:
+        begun |= path in content
+        # blocks of links are menus, but for those that follow the content within an article or main element
         menu = linked >= 0.5 * len(text) and bool(path) and _tag(path[-1]) in ("li", "tr", "ul", "ol", "table", "div", "section")
-        if path[: len(container)] == container and (path in content or not menu):
+        if path[: len(container)] == container and (path in content or not menu or closed and begun):
             kept.append(text)
     return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns, text and n_chars of every page."""
-    columns = pages.select(*keep, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1]) + ", text string, n_chars long"
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
+    columns = pages.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("_html"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1]), "text string", "n_chars long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

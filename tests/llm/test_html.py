@@ -1,4 +1,7 @@
-from pagewright.llm.html_text import blocks, extract, main_text
+import html
+import re
+
+from pagewright.llm.html_text import blocks, extract, main_text, op2_html_text
 
 PROSE = "The committee met on the first day of the month, and its members, all of them present, agreed on the plan."
 
@@ -41,6 +44,42 @@ def test_short_article_beside_the_story():
     assert main_text(html) == "\n\n".join(["Title", *[PROSE] * 8])
 
 
+def test_wrappers_called_after_a_part():
+    body = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    want = "\n\n".join(["Title", PROSE, PROSE])
+    assert main_text(page(f"<div class='layout has-sidebar'><article>{body}</article><div class='sidebar'><p>Read this, too.</p></div></div>")) == want
+    assert main_text(page(f"<article class='post share-enabled'>{body}<div class='share'>Tell your friends.</div></article>")) == want
+    assert main_text(page(f"<div id='page-with-footer' class='no-comments'><div class='post'>{body}</div><div class='footer'>Imprint, contact.</div></div>")) == want
+    assert main_text(f"<body class='cookie-notice nav-open'><main class='banner-top'>{body}</main></body>") == want
+
+
+def test_comments_longer_than_the_article():
+    talk = "".join(f"<article class='comment'><p>A reader says: {PROSE}</p></article>" for _ in range(9))
+    html = page(f"<article><h1>Title</h1><p>{PROSE}</p></article><section class='comments-area'>{talk}</section>")
+    assert main_text(html) == f"Title\n\n{PROSE}"
+    html = page(f"<div class='post'><h1>Title</h1><p>{PROSE}</p><div id='comments'>{talk}</div></div>")
+    assert main_text(html) == f"Title\n\n{PROSE}"
+
+
+def test_lists_of_links():
+    links = "<ul><li><a href='a'>First source</a></li><li><a href='b'>Second source</a></li></ul>"
+    assert main_text(page(f"<article><p>{PROSE}</p>{links}</article>")) == f"{PROSE}\n\nFirst source\n\nSecond source"
+    assert main_text(page(f"<article>{links}<p>{PROSE}</p></article>")) == PROSE
+    assert main_text(page(f"{links}<div><p>{PROSE}</p><p>{PROSE}</p></div>")) == f"{PROSE}\n\n{PROSE}"
+
+
+def test_pages_against_their_markup(spark):
+    """The pages of the test tables have one article element each: its paragraphs, cut out by pattern."""
+    sf = "/root/testdata/sf0.01"
+    got = {r.page_id: r.text for r in op2_html_text(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        (article,) = re.findall(r"<article[^>]*>(.*?)</article>", re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "", r.html), re.S)
+        parts = [" ".join(html.unescape(re.sub("<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|blockquote)\b[^>]*>", article)]
+        assert got[r.page_id] == "\n\n".join(x for x in parts if x)
+
+
 def test_broken_and_empty():
     for h in (None, "", "   ", "<html></html>", "<nav><a>x</a></nav>", "<script>while(1){}", "<!-- only a comment", "<p></p>"):
         assert main_text(h) == ""
@@ -54,4 +93,10 @@ def test_broken_and_empty():
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", page(f"<article><p>{PROSE}é</p></article>")), (2, None, None)], "page_id long, url string, html string")
     assert sorted(tuple(r) for r in extract(df).collect()) == [(1, "u", PROSE + "é", len(PROSE) + 1), (2, None, "", 0)]
-    assert extract(df.limit(0)).count() == 0
+    assert extract(df.limit(0)).collect() == [] and extract(df.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "old", 7, page(f"<p>{PROSE}</p>"))] * 2, "page_id long, text string, n_chars int, html string")
+    out = extract(df, keep=("page_id", "text", "n_chars"))
+    assert out.columns == ["page_id", "text", "n_chars"] and [tuple(r) for r in out.collect()] == [(1, PROSE, len(PROSE))] * 2
