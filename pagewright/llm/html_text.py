@@ -6,9 +6,9 @@ over the blocks in page order, fused into one score, and paths whose score reach
 of the page's spread are content paths.
 
 The content paths decide what the article is. Elements whose class, id or role names hint at
-something else (menus, sidebars, notices, adverts, reader comments) go only if most of the page's
-content lies outside them, or enough of it with a heading or article element: a wrapper that is
-called after a part of it stays. Article and main elements are kept to if they hold most of the
+something else (menus, sidebars, notices, adverts, reader comments) go if most of the page's
+content lies outside them, or enough of it that is headed as well: a wrapper that is called after
+a part of it stays. Article and main elements are kept to if they hold most of the
 content text. The article or main element around all content paths, else the deepest container
 that covers them, then gives the text: all its blocks, short ones and headings too, but for
 blocks of links outside or before the content. Elements that are never article text by HTML itself
@@ -203,30 +203,43 @@ def _weight(found: list[Block], content: set[tuple[str, ...]]) -> int:
     return sum(len(b.text) - b.linked for b in found if b.path in content)
 
 
-def _headed(b: Block) -> bool:
-    """Does the block stand in an article or main element, or is it a first-order heading?"""
-    return any(_tag(x) in MAIN or _tag(x) == "h1" for x in b.path)
+def _headed(found: list[Block]) -> int:
+    """2 if a block is a first-order heading, else 1 if one stands in an article or main element, else 0."""
+    tags = {_tag(x) for b in found for x in b.path}
+    return 2 if "h1" in tags else 1 if not tags.isdisjoint(MAIN) else 0
 
 
 def _without_hinted(found: list[Block], spread: float, rest_share: float = 0.05) -> list[Block]:
     """The blocks outside hinted elements, but for wrappers of the page's content.
 
-    Elements are judged from the one with the most content down. One with more than half of the
-    content left stays, unless what lies outside it has ``rest_share`` of the content and a
-    heading or article element: then that is the article, and this is, say, a long discussion.
+    An element with more than half of the content left (these lie within each other, the outermost
+    is judged first) stays, unless what lies outside it has ``rest_share`` of the content and is
+    headed at least as well: then that is the article, and this is, say, a long discussion. All
+    others go; if that leaves no content, the best headed and largest of them stays.
     """
-    hints = sorted({h for b in found for h in b.hints})
-    if not hints:
+    undecided = {h for b in found for h in b.hints}
+    if not undecided:
         return found
     content = _content(found, spread)
-    weight = {h: _weight([b for b in found if h in b.hints], content) for h in hints}
-    for h in sorted(hints, key=lambda h: (-weight[h], h)):
+    while True:
+        weight, total = defaultdict(int), _weight(found, content)
+        for b in found:
+            if b.path in content:
+                for h in b.hints:
+                    weight[h] += len(b.text) - b.linked
+        large = [h for h in undecided if 2 * weight[h] > total]
+        if not large:
+            break
+        h = max(large, key=lambda h: (weight[h], -h))
+        undecided.discard(h)
         within, rest = [b for b in found if h in b.hints], [b for b in found if h not in b.hints]
-        held, other = _weight(within, content), _weight(rest, content)
-        elsewhere = other >= rest_share * (held + other) and any(_headed(b) for b in rest)
-        if held <= other or elsewhere:
+        if total - weight[h] >= rest_share * total and _headed(rest) >= max(1, _headed(within)):
             found = rest
-    return found
+    left = [b for b in found if undecided.isdisjoint(b.hints)]
+    if total and not _weight(left, content):
+        h = max(undecided, key=lambda h: (_headed([b for b in found if h in b.hints]), weight[h], -h))
+        left = [b for b in found if undecided.isdisjoint(b.hints) or h in b.hints]
+    return left
 
 
 def main_text(page: str | None, spread: float = 0.5) -> str:

@@ -61,6 +61,16 @@ def test_comments_longer_than_the_article():
     assert main_text(html) == f"Title\n\n{PROSE}"
 
 
+def test_hinted_article_beside_hinted_comments():
+    body = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    want = "\n\n".join(["Title", PROSE, PROSE])
+    for n in (1, 2, 9):
+        talk = "".join(f"<article class='comment'><p>A reader says: {PROSE}</p></article>" for _ in range(n))
+        assert main_text(page(f"<article class='post share-enabled'>{body}</article><section class='comments'>{talk}</section>")) == want
+    many = "".join(f"<div class='comment c{k}'><p>Reader {k} says: {PROSE}</p></div>" for k in range(3000))
+    assert main_text(page(f"<article class='share'>{body}</article><section class='comments'>{many}</section>")) == want
+
+
 def test_lists_of_links():
     links = "<ul><li><a href='a'>First source</a></li><li><a href='b'>Second source</a></li></ul>"
     assert main_text(page(f"<article><p>{PROSE}</p>{links}</article>")) == f"{PROSE}\n\nFirst source\n\nSecond source"
