@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +37,8 @@ from .common import broadcast_if_small, materialise, table, text_or_empty
 TRIM = " \t\x0b\x0c\r"
 #: Largest tables of keys (two or three numbers a row) that are broadcast.
 BROADCAST_ROWS = 500_000
+#: Documents turned into Python values, and lines put out, at a time: what a worker holds.
+ROWS_AT_ONCE, LINES_AT_ONCE = 64, 8_192
 LAST = (1 << 63) - 1
 POSITION = ["d", "t", "line_no"]
 
@@ -95,18 +96,29 @@ def _small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches one by one, a few turned into Python values at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield from zip(*(c.to_pylist() for c in batch.slice(lo, ROWS_AT_ONCE).columns), strict=True)
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+
 def _occurrences(docs: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
+    kinds = {"d": pa.int64(), "t": pa.int64(), "line_no": pa.int32(), "h": pa.int64(), "keys": pa.list_(pa.int64())}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, t, no, h, keys = [], [], [], [], []
-            for doc, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, line in lines_of(text):
-                    d.append(doc)
-                    t.append(th)
-                    no.append(k)
-                    h.append(_hash("L", line))
-                    keys.append(half_keys(line) if max_edits and len(line) >= min_chars else [])
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(no, pa.int32()), pa.array(h, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["d", "t", "line_no", "h", "keys"])
+        rows: list[tuple] = []
+        for doc, th, text in _each(batches):
+            for k, line in lines_of(text):
+                rows.append((doc, th, k, _hash("L", line), half_keys(line) if max_edits and len(line) >= min_chars else []))
+                if len(rows) >= LINES_AT_ONCE:
+                    yield _batch(rows, kinds)
+                    rows = []
+        yield _batch(rows, kinds)
 
     return docs.select("d", "t", "text").mapInArrow(run, "d long, t long, line_no int, h long, keys array<long>")
 
@@ -115,14 +127,17 @@ def _texts(docs: DataFrame, places: DataFrame, min_chars: int) -> DataFrame:
     """(h, position, left, right, line) of the given places."""
     wanted = materialise(places.groupBy("d", "t").agg(F.collect_list(F.struct("line_no", "h", "left", "right")).alias("lines")), "line-places")
 
+    kinds = {"h": pa.int64(), "d": pa.int64(), "t": pa.int64(), "line_no": pa.int32(), "left": pa.bool_(), "right": pa.bool_(), "line": pa.string()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, th, text, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = dict(lines_of(text, min_chars))
-                rows += [(x["h"], doc, th, x["line_no"], x["left"], x["right"], own[x["line_no"]]) for x in lines]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["h", "d", "t", "line_no", "left", "right", "line"])
+        rows: list[tuple] = []
+        for doc, th, text, lines in _each(batches):
+            own = dict(lines_of(text, min_chars))
+            rows += [(x["h"], doc, th, x["line_no"], x["left"], x["right"], own[x["line_no"]]) for x in lines]
+            if len(rows) >= LINES_AT_ONCE:
+                yield _batch(rows, kinds)
+                rows = []
+        yield _batch(rows, kinds)
 
     joined = docs.join(broadcast_if_small(wanted, "lines"), ["d", "t"]).select("d", "t", "text", "lines")
     return joined.mapInArrow(run, "h long, d long, t long, line_no int, left boolean, right boolean, line string").dropDuplicates(["h"])
@@ -179,27 +194,33 @@ def kept_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1) -> Data
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, max_edits: int = 1, length_col: str | None = None) -> DataFrame:
     """docs with the removed lines cut from the text, n_lines and n_removed; length_col is brought up to date."""
-    names = docs.columns
-    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("d"),
         F.xxhash64(text_or_empty(text_col)).alias("t"),
-        F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"),
+        text_or_empty(text_col).alias("text"),
+        *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names) if c not in (text_col, length_col)),
     )
-    kept = kept_lines(keyed.select("d", "t", text.alias("text")), min_chars, max_edits)
-
-    @F.pandas_udf("struct<text:string,n_lines:long,n_removed:long>")
-    def cut(texts: pd.Series, stay: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, lines in zip(texts, stay, strict=True):
-            kept, every, open_ = set(() if lines is None else lines), text.split("\n"), {k for k, _ in lines_of(text)}
-            out = [x for k, x in enumerate(every) if k not in open_ or k in kept]
-            rows.append(("\n".join(out), len(every), len(every) - len(out)))
-        return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
-
-    joined = keyed.join(kept, ["d", "t"], "left").withColumn("new", cut(text, "kept_lines"))
-    columns = [F.col("new.text").alias(c) if c == text_col else F.char_length("new.text").cast("long").alias(c) if c == length_col else F.col(f"row.`{c}`") for c in names if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, F.col("new.n_lines").alias("n_lines"), F.col("new.n_removed").alias("n_removed"))
+    kept = kept_lines(keyed.select("d", "t", "text"), min_chars, max_edits)
+    carried = [c for c in keyed.columns if c not in ("d", "t", "text")]
+    types = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
+    schema = ", ".join(["text string", "n_chars long", "n_lines long", "n_removed long", *(f"{c} {types[c]}" for c in carried)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part, rows = batch.slice(lo, ROWS_AT_ONCE), []
+                for text, lines in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    stay, every, open_ = set(lines or ()), text.split("\n"), {k for k, _ in lines_of(text)}
+                    out = [x for k, x in enumerate(every) if k not in open_ or k in stay]
+                    new = "\n".join(out)
+                    rows.append((new, len(new), len(every), len(every) - len(out)))
+                new = _batch(rows, {"text": pa.string(), "n_chars": pa.int64(), "n_lines": pa.int64(), "n_removed": pa.int64()})
+                yield pa.RecordBatch.from_arrays([*new.columns, *part.columns[2:]], names=[*new.schema.names, *carried])
+
+    cut = keyed.join(kept, ["d", "t"], "left").select("text", "kept_lines", *carried).mapInArrow(run, schema)
+    columns = [F.col("text" if c == text_col else "n_chars" if c == length_col else f"c{k}").alias(c) for k, c in enumerate(names)]
+    return cut.select(*columns, F.col("n_lines").alias("n_lines"), F.col("n_removed").alias("n_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
