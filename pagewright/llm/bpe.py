@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import text_slices
 from .common import table, text_or_empty
 
 INFINITE = 1 << 60
@@ -223,20 +224,29 @@ def load(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, memory_chunks: int = MEMORY_CHUNKS) -> DataFrame:
-    """doc_id, n_tokens, digests and, unless digests_only, the ids (binary) and the decoded text."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ("" if digests_only else ", ids binary, decoded string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, sha = load(vocab_path), hashlib.sha256
-        bpe.most = memory_chunks
-        for batch in batches:
-            rows = [r for part in parts(batch.column(1).cast(pa.binary()).to_pylist()) for r in bpe.encode_texts(part)]
+def encode_batches(batches: Iterator[pa.RecordBatch], bpe: WordBpe, digests_only: bool = False, decoded: bool = True) -> Iterator[pa.RecordBatch]:
+    """The results of batches of (doc_id, text), put out slice by slice: a worker holds one slice's tokens."""
+    sha = hashlib.sha256
+    for whole in batches:
+        for batch in text_slices(whole, 1):
+            rows = bpe.encode_texts(batch.column(1).cast(pa.binary()).to_pylist())
             columns = [batch.column(0), pa.array([len(i) // 4 for i, _ in rows], pa.int64()), pa.array([sha(i).hexdigest() for i, _ in rows], pa.string()), pa.array([sha(d).hexdigest() for _, d in rows], pa.string())]
             if not digests_only:
-                columns += [pa.array([i for i, _ in rows], pa.binary()), pa.array([d.decode("utf-8", "replace") for _, d in rows], pa.string())]
+                columns.append(pa.array([i for i, _ in rows], pa.binary()))
+                if decoded:
+                    columns.append(pa.array([d.decode("utf-8", "replace") for _, d in rows], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
 
+
+def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False, memory_chunks: int = MEMORY_CHUNKS, decoded: bool = True) -> DataFrame:
+    """doc_id, n_tokens, digests and, unless digests_only, the ids (binary) and, with decoded, the decoded text."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ("" if digests_only else ", ids binary" + ", decoded string" * decoded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(vocab_path)
+        bpe.most = memory_chunks
+        return encode_batches(batches, bpe, digests_only, decoded)
+
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import text_slices
 from .common import broadcast_if_small, drop_table, materialise, table, text_or_empty
 from .components import components
 
@@ -102,7 +103,7 @@ def node_of(hashes: np.ndarray) -> int:
 def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = hash_family(bands * rows)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             n, nodes, sigs = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingles(text, size)
@@ -200,7 +201,7 @@ def _across(live: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = hash_family(LONG)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 0)):
             sets = [shingles(t, size) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             right = pa.array([len(s) > 0 and node_of(s) == node for s, node in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
             sigs = pa.array([signature(s, family).tobytes() if ok else None for s, ok in zip(sets, right.to_pylist(), strict=True)], pa.binary())
@@ -219,7 +220,7 @@ def _across(live: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
             found = _near_in_cluster(held, percent, first)
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(4)], names=["a", "b", "ca", "cb"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 4)):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[-1][6:] != row[6:]:
                     yield flush()
@@ -251,7 +252,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mine, root = None, None, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 5)):
             a, b = [], []
             columns = [batch.column(k).to_pylist() for k in range(5)]
             for node, pivot, part, role, of, text in zip(*columns, batch.column(5).cast(pa.binary()).to_pylist(), strict=True):

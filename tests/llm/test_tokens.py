@@ -4,11 +4,12 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pagewright.llm import bpe, token_files
+from pagewright.llm import batches, bpe, token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -104,3 +105,21 @@ def test_token_files(spark, library, tmp_path, monkeypatch):
     token_files.write_token_files(df.limit(0), str(tmp_path / "e"), PATH, 2)
     empty = token_files.read_token_files(spark, str(tmp_path / "e"))
     assert empty.collect() == [] and empty.columns == ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+
+
+def test_worker_holds_one_slice_of_a_batch():
+    """The rows of a large batch come out whole and in order, in slices; decoded texts only where wanted."""
+    texts = [f"Word{k} of a text, " * 40 for k in range(5000)] + [None, "", "x" * (3 << 20), "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(batches.text_slices(batch, 1))
+    assert pa.Table.from_batches(parts).column("text").to_pylist() == texts
+    assert max(p.num_rows for p in parts) <= 1024
+    assert max(sum(len(t or "") for t in p.column(1).to_pylist()[:-1]) for p in parts) < 1 << 20
+    assert list(batches.text_slices(batch.slice(0, 0), 1)) == []
+    small = batch.slice(0, 3000)
+    encoder = bpe.WordBpe(bpe.default_vocabulary())
+    out = list(bpe.encode_batches(iter([small]), encoder, decoded=False))
+    assert len(out) > 2 and out[0].schema.names == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    whole = encoder.encode_texts([t.encode() for t in texts[:3000]])
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc_id"], r["ids"], r["decoded_sha256"]) for r in rows] == [(k, i, hashlib.sha256(d).hexdigest()) for k, (i, d) in enumerate(whole)]
