@@ -104,7 +104,7 @@ def leaf_marks(spark, sf):
 WITH p AS (SELECT p_partkey, upper(p_name) AS t FROM part)
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN [t || ' IN THE CITY.', 'A Letter to ' || p_partkey] END AS run_in, ['supplement', 'insert', 'issue-opening', 'title-page'][p_partkey % 4 + 1] AS kind,
   CASE WHEN p_partkey % 3 = 2 THEN ['A TITLE', t] ELSE ['A TITLE', t, 'text'] END AS body FROM p""")
-def opening_rules(spark, sf):
+def start_rules(spark, sf):
     p = parts(spark, sf).withColumn("t", F.upper("p_name"))
     text = F.when(key() % 2 == 0, F.concat("t", F.lit(" IN THE CITY. A Letter to "), s(key()))).otherwise(F.concat_ws(" ", F.lit("Plain prose of"), "p_name"))
     run = H.run_in_title(text)
@@ -387,7 +387,7 @@ def catalogue_statements(spark, sf):
 
 
 @query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) <= 1996")
-def open_issues(spark, sf):
+def aged_issues(spark, sf):
     """Issues old enough by a term of 30 years in 2026; a younger one would be an error."""
     o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year")).filter("year <= 1996")
     return writers.refuse_recent(o, 2026, 30).select("o_orderkey")
