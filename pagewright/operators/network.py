@@ -22,9 +22,23 @@ def keyness(tokens: DataFrame, term: str, part: str, reference: DataFrame, min_f
     """
     counts = tokens.groupBy(term).agg(F.count(F.lit(1)).alias("f"), F.count_distinct(part).alias("parts"))
     total = tokens.agg(F.count(F.lit(1)).alias("total"))
-    rated = counts.filter((F.col("f") >= min_f) & (F.col("parts") >= min_parts)).join(reference, term, "left").crossJoin(F.broadcast(total))
+    some = counts.filter((F.col("f") >= min_f) & (F.col("parts") >= min_parts)).join(reference, term, "left").crossJoin(F.broadcast(total))
+    return _rated(some, term, min_ratio, top)
+
+
+def keyness_within(tokens: DataFrame, term: str, part: str, own: Column, min_f: int, min_parts: int, min_ratio: float, top: int | None = None) -> DataFrame:
+    """As ``keyness``, for the parts that are ``own`` against the others; tokens are read and shuffled once."""
+    by = tokens.groupBy(term, part).agg(F.count(F.lit(1)).alias("_n"))
+    mine, rest = F.when(own, F.col("_n")), F.when(~own, F.col("_n"))
+    counts = by.groupBy(term).agg(F.sum(mine).alias("f"), F.count(mine).alias("parts"), F.sum(rest).alias("_rest"))
+    total = by.agg(F.sum(mine).alias("total"), F.sum(rest).alias("_all"))  # one row
+    some = counts.filter((F.col("f") >= min_f) & (F.col("parts") >= min_parts)).crossJoin(F.broadcast(total)).withColumn("per_million", F.col("_rest") * 1e6 / F.col("_all"))
+    return _rated(some, term, min_ratio, top)
+
+
+def _rated(some: DataFrame, term: str, min_ratio: float, top: int | None) -> DataFrame:
     ratio = (F.col("f") / F.col("total") * 1e6) / F.coalesce("per_million", F.lit(0.01))
-    out = rated.withColumn("ratio", ratio).filter(F.col("ratio") >= min_ratio).select(term, "f", "parts", "ratio", (F.col("f") * F.log("ratio")).alias("key"))
+    out = some.withColumn("ratio", ratio).filter(F.col("ratio") >= min_ratio).select(term, "f", "parts", "ratio", (F.col("f") * F.log("ratio")).alias("key"))
     return out if top is None else out.orderBy(F.desc("key"), term).limit(top)
 
 
@@ -47,29 +61,39 @@ def pair_edges(baskets: DataFrame, basket: str, item: str, min_pairs: int = 1, k
     return out.crossJoin(F.broadcast(total)).select("s", "t", "f", "w", "fs", "ft", "baskets")
 
 
-def basket_edges(baskets: DataFrame, items: str, kept: list[str], min_pairs: int = 1) -> DataFrame:
-    """(s, t, f, w, fs, ft, baskets) as ``pair_edges``, for baskets that are arrays and a bounded list of kept items.
+def basket_pairs(baskets: DataFrame, items: str, kept: list[str]) -> DataFrame:
+    """(s, t, f, w): counts of the pairs of a bounded list of kept items in baskets that are arrays.
 
+    An item with itself stands for its baskets, two empty names for all baskets with an item.
     Pairs are made within the row, from at most as many items as are kept, and counted by partial
     sums: one scan and one shuffle of pairs, whatever the number of baskets.
     """
-    some = F.array_sort(F.array_intersect(items, F.array(*(F.lit(x) for x in kept)).cast("array<string>")))
-    found = baskets.filter(F.size(items) > 0).select(some.alias("k"))
-    # an item with itself stands for its baskets, an empty pair for the basket
+    some = F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isin(kept)))) if kept else F.array().cast("array<string>")
+    found = baskets.select(some.alias("k"), (F.size(items) > 0).alias("any"))
     pair = lambda s, t, n: F.struct(s.alias("s"), t.alias("t"), (1 / F.nullif(n - 1, F.lit(0))).alias("w"))
     pairs = F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 1, F.size("k")), lambda y: pair(x, y, F.size("k")))))
-    counted = found.select(F.explode(F.array_append(pairs, pair(F.lit(""), F.lit(""), F.lit(1)))).alias("p")).groupBy("p.s", "p.t").agg(F.count(F.lit(1)).alias("f"), F.sum("p.w").alias("w"))
-    own = counted.filter((F.col("s") == F.col("t")) & (F.col("s") != ""))
-    total = counted.filter("s = ''").select(F.col("f").alias("baskets"))  # one row
-    edges = counted.filter((F.col("s") < F.col("t")) & (F.col("s") != "") & (F.col("f") >= min_pairs))
-    out = edges.join(own.select("s", F.col("f").alias("fs")), "s").join(own.select("t", F.col("f").alias("ft")), "t")
+    # explode_outer: no filter is inferred from it that would make the pairs twice
+    every = found.select(F.explode_outer(F.when(F.col("any"), F.array_append(pairs, pair(F.lit(""), F.lit(""), F.lit(1))))).alias("p")).filter("p is not null")
+    return every.groupBy("p.s", "p.t").agg(F.count(F.lit(1)).alias("f"), F.sum("p.w").alias("w"))
+
+
+def pairs_as_edges(pairs: DataFrame, min_pairs: int = 1) -> DataFrame:
+    """(s, t, f, w, fs, ft, baskets) from ``basket_pairs``, which is read several times: it should be stored."""
+    own = pair_counts(pairs)
+    total = pairs.filter("s = '' and t = ''").select(F.col("f").alias("baskets"))  # one row
+    edges = pairs.filter((F.col("s") < F.col("t")) & (F.col("s") != "") & (F.col("f") >= min_pairs))
+    out = edges.join(own.select(F.col("item").alias("s"), F.col("n").alias("fs")), "s").join(own.select(F.col("item").alias("t"), F.col("n").alias("ft")), "t")
     return out.crossJoin(F.broadcast(total)).select("s", "t", "f", "w", "fs", "ft", "baskets")
 
 
-def basket_counts(baskets: DataFrame, items: str, kept: list[str]) -> DataFrame:
-    """(item, n): the baskets of each kept item."""
-    some = F.array_intersect(items, F.array(*(F.lit(x) for x in kept)).cast("array<string>"))
-    return baskets.select(F.explode(some).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """(item, n): the baskets of each kept item, from ``basket_pairs``."""
+    return pairs.filter((F.col("s") == F.col("t")) & (F.col("s") != "")).select(F.col("s").alias("item"), F.col("f").alias("n"))
+
+
+def basket_edges(baskets: DataFrame, items: str, kept: list[str], min_pairs: int = 1) -> DataFrame:
+    """(s, t, f, w, fs, ft, baskets) as ``pair_edges``, for baskets that are arrays and a bounded list of kept items."""
+    return pairs_as_edges(basket_pairs(baskets, items, kept), min_pairs)
 
 
 def pmi(edges: DataFrame, digits: int = 3) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import discourse as D
 from ..operators import network as N
 from ..operators import pages as P
 from ..operators import search as S
+from ..sources.writers import scratch
 from .text_queries import FUNCTION, SENTENCES, query, table
 
 SOURCES = [f"src{k}" for k in range(20)]
@@ -36,11 +37,7 @@ y AS (SELECT term, f, parts, (f / (SELECT sum(f) FROM x) * 1e6) / coalesce(pm, 0
 
 @query(f"WITH {KEYNESS} SELECT term, f, parts, round(ratio, 4) AS ratio, round(f * ln(ratio), 4) AS key FROM y WHERE ratio >= 1.5 ORDER BY f * ln(ratio) DESC, term LIMIT 260")
 def keyness_terms(spark, sf):
-    t = tokens(spark, sf)
-    rest = t.filter(~F.col("source").isin("src0", "src1", "src2"))
-    total = rest.agg(F.count(F.lit(1)).alias("total"))
-    reference = rest.groupBy("term").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("term", (F.col("n") * 1e6 / F.col("total")).alias("per_million"))
-    out = N.keyness(t.filter(F.col("source").isin("src0", "src1", "src2")), "term", "source", reference, 3, 2, 1.5, top=260)
+    out = N.keyness_within(tokens(spark, sf), "term", "source", F.col("source").isin("src0", "src1", "src2"), 3, 2, 1.5, top=260)
     return out.select("term", "f", "parts", F.round("ratio", 4).alias("ratio"), F.round("key", 4).alias("key"))
 
 
@@ -68,34 +65,41 @@ def key_terms(spark, sf):
 
 def sentence_terms(spark, sf):
     """A sentence a row, with the array of its terms."""
-    s = table(spark, sf, "documents").select(F.explode(T.sentences(F.col("text"))).alias("text"))
+    s = table(spark, sf, "documents").select(F.explode_outer(T.sentences(F.col("text"))).alias("text"))
     return s.select(F.filter(F.array_distinct(T.word_tokens(F.col("text"))), lambda w: F.length(w) >= 4).alias("terms"))
 
 
-def term_edges(spark, sf):
-    return N.pmi(N.basket_edges(sentence_terms(spark, sf), "terms", key_terms(spark, sf), 6))
+def term_pairs(spark, sf):
+    """Counts of the pairs of key terms in sentences, made once and stored: 34,000 rows at most."""
+    path = scratch(spark, "term-pairs")
+    N.basket_pairs(sentence_terms(spark, sf), "terms", key_terms(spark, sf)).write.parquet(path)
+    return spark.read.schema("s string, t string, f long, w double").parquet(path)
 
 
-def term_network(spark, sf):
-    edges = term_edges(spark, sf).filter("pmi > 0")
+def term_edges(pairs):
+    return N.pmi(N.pairs_as_edges(pairs, 6))
+
+
+def term_network(pairs):
+    edges = term_edges(pairs).filter("pmi > 0")
     return N.top_links(edges, F.round(F.col("pmi") * F.log(1 + F.col("f")), 9), 8)
 
 
 @query(f"WITH {EDGES} SELECT s, t, f, pmi FROM ed")
 def term_pmi_edges(spark, sf):
-    return term_edges(spark, sf).select("s", "t", "f", "pmi")
+    return term_edges(term_pairs(spark, sf)).select("s", "t", "f", "pmi")
 
 
 @query(f"WITH {EDGES} SELECT s, t, f, pmi, round(score, 6) AS score FROM net")
 def term_topk_network(spark, sf):
-    return term_network(spark, sf).select("s", "t", "f", "pmi", F.round("score", 6).alias("score"))
+    return term_network(term_pairs(spark, sf)).select("s", "t", "f", "pmi", F.round("score", 6).alias("score"))
 
 
 @query(f"""
 WITH {EDGES}, bw AS (SELECT s AS node, t AS other FROM net UNION ALL SELECT t, s FROM net)
 SELECT node, count(*) AS degree, count(DISTINCT left(other, 1)) AS span FROM bw GROUP BY node HAVING count(*) >= 4 ORDER BY span DESC, degree DESC, node LIMIT 18""")
 def bridges(spark, sf):
-    net = term_network(spark, sf)
+    net = term_network(term_pairs(spark, sf))
     group = N.both_ways(net).select("node").distinct().withColumn("grp", F.left("node", F.lit(1)))
     return N.bridges(net, group)
 
@@ -104,8 +108,9 @@ def bridges(spark, sf):
 WITH {EDGES}, bw AS (SELECT s AS node, t AS other, pmi, f FROM net UNION ALL SELECT t, s, pmi, f FROM net)
 SELECT other, round(pmi * ln(1 + f), 6) AS score FROM bw WHERE node = (SELECT term FROM ks ORDER BY n DESC, term LIMIT 1) ORDER BY round(pmi * ln(1 + f), 9) DESC, other LIMIT 16""")
 def neighbours(spark, sf):
-    first = N.basket_counts(sentence_terms(spark, sf), "terms", key_terms(spark, sf)).orderBy(F.desc("n"), "item").limit(1)
-    both = N.both_ways(term_network(spark, sf)).join(F.broadcast(first.select(F.col("item").alias("node"))), "node", "left_semi")
+    pairs = term_pairs(spark, sf)
+    first = N.pair_counts(pairs).orderBy(F.desc("n"), "item").limit(1)
+    both = N.both_ways(term_network(pairs)).join(F.broadcast(first.select(F.col("item").alias("node"))), "node", "left_semi")
     score = F.round(F.col("pmi") * F.log(1 + F.col("f")), 9)
     return both.select("other", score.alias("sc")).orderBy(F.desc("sc"), "other").limit(16).select("other", F.round("sc", 6).alias("score"))
 
@@ -114,8 +119,8 @@ def neighbours(spark, sf):
 WITH {EDGES}, top AS (SELECT term FROM ks ORDER BY n DESC, term LIMIT 20)
 SELECT s, t, f FROM ed WHERE s IN (FROM top) AND t IN (FROM top)""")
 def density(spark, sf):
-    nodes = N.basket_counts(sentence_terms(spark, sf), "terms", key_terms(spark, sf)).withColumnRenamed("item", "node")
-    return N.induced(nodes, term_edges(spark, sf), "n", 20).select("s", "t", "f")
+    pairs = term_pairs(spark, sf)
+    return N.induced(N.pair_counts(pairs).withColumnRenamed("item", "node"), term_edges(pairs), "n", 20).select("s", "t", "f")
 
 
 @query(f"""
