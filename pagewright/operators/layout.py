@@ -12,10 +12,10 @@ def _order(key: str, pos: str):
 
 def between_read(rows: DataFrame, key: str, pos: str, page: str) -> DataFrame:
     """Adds before_page, after_page, before_pos and after_pos of the nearest read leaves of an unread one."""
-    w = _order(key, pos)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    # the next read leaf is the last one of the order turned round: frames that end before the row are extended, not read again
+    before = lambda order: Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     at = F.when(F.col(page).isNotNull(), F.struct(F.col(page).alias("page"), F.col(pos).alias("pos")))
-    out = rows.withColumn("_b", F.last(at, ignorenulls=True).over(back)).withColumn("_a", F.first(at, ignorenulls=True).over(ahead))
+    out = rows.withColumn("_a", F.last(at, ignorenulls=True).over(before(F.desc(pos)))).withColumn("_b", F.last(at, ignorenulls=True).over(before(F.asc(pos))))
     for c in ("page", "pos"):
         out = out.withColumn(f"before_{c}", F.col(f"_b.{c}")).withColumn(f"after_{c}", F.col(f"_a.{c}"))
     return out.drop("_b", "_a")
