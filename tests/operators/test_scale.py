@@ -1,11 +1,15 @@
 """Steps whose work must grow with their input, on rows enough to tell."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators import layout, network, pages
+from pagewright.operators import articles, layout, network, pages
+from pagewright.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def seconds(df):
@@ -37,3 +41,56 @@ def test_neighbours_of_one_long_run(spark):
     assert [r.anchor for r in got] == [0, 0, 10_000, 30_000] and took < 20
     got, took = seconds(layout.between_read(rows, "k", "pos", "page").filter("pos in (10000, 10001, 30000)").orderBy("pos").select("before_page", "after_page"))
     assert [tuple(r) for r in got] == [(0, 20_000), (10_000, 20_000), (20_000, None)] and took < 20
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_broadcast_of_rows_that_grow(spark):
+    """Draws are rows times 200, and every issue has a row: the planner takes them for small and sent them to the driver."""
+    for name in ("bootstrap_band", "layout_rules"):
+        plan = planned(registry.QUERIES[name](spark, SF))
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_articles_beyond_page_999(spark):
+    """Ids have three places of the page; articles with like ids stay apart."""
+    rows = [(1, "i", k, 1_000 + k // 2, title, True, "title-page") for k, title in ((0, "THE QUICK FOXES"), (2, "A LAZY DOG"), (4, "NINE BLUE JUGS"))]
+    rows += [(1, "i", k, 1_000 + k // 2, "prose", False, None) for k in (1, 3, 5)]
+    done = articles.assign_articles(spark.createDataFrame(rows, "vol int, issue string, seq int, page int, t string, is_head boolean, start string"))
+    assert sorted((r.article, r.p0, r.paragraphs) for r in articles.article_ranges(done).collect()) == [("1-100", 1_000, 2), ("1-100", 1_001, 2), ("1-100", 1_002, 2)]
+    merged = articles.merge_articles(done, spark.createDataFrame([(1, 2)], "vol int, opened int"))
+    assert sorted((r.opened, r["count"]) for r in merged.groupBy("opened").count().collect()) == [(0, 4), (4, 2)]
+
+
+def loop(offs, sizes):
+    """The first transient run goes, again and again."""
+    runs = [(o, s, [i]) for i, (o, s) in enumerate(zip(offs, sizes, strict=True))]
+    while True:
+        for k, (_, n, _) in enumerate(runs):
+            beside = [runs[j][1] for j in (k - 1, k + 1) if 0 <= j < len(runs)]
+            between = 0 < k < len(runs) - 1 and runs[k - 1][0] == runs[k + 1][0] and n < sum(beside)
+            if between or (n == 1 and max(beside, default=0) > 1):
+                break
+        else:
+            return [any(i in own for _, _, own in runs) for i in range(len(offs))]
+        del runs[k]
+        if 0 < k < len(runs) and runs[k - 1][0] == runs[k][0]:
+            runs[k - 1 : k + 1] = [(runs[k][0], runs[k - 1][1] + runs[k][1], runs[k - 1][2] + runs[k][2])]
+
+
+def test_steady_runs_as_the_loop(spark):
+    rng = random.Random(4)
+    for _ in range(400):
+        offs = [rng.randrange(4)]
+        while len(offs) < rng.randrange(1, 12):
+            offs.append((offs[-1] + rng.randrange(1, 4)) % 4)
+        sizes = [rng.choice([1, 1, 1, 2, 3]) for _ in offs]
+        assert pages.steady(offs, sizes, [True] + [False] * (len(offs) - 1)) == loop(offs, sizes)
+    # 60,000 readings of one run, every third of them off; and many keys over several batches
+    rows = spark.range(60_000).select(F.lit(1).alias("k"), F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("off"))
+    got, took = seconds(pages.steady_runs(rows, "k", "pos", "off").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("m")))
+    assert (got[0].n, got[0].m) == (40_000, -1) and took < 20
+    many = spark.range(50_000).select((F.col("id") % 7_000).cast("string").alias("k"), F.col("id").alias("pos"), F.when(F.floor(F.col("id") / 7_000) == 2, 9).otherwise(1).alias("off"))
+    assert pages.steady_runs(many, "k", "pos", "off").count() == 43_000
