@@ -40,15 +40,13 @@ def weighted_means(rows: DataFrame, by: list[str], value: str, weight: str) -> D
 
 
 def generator_value(k: Column) -> Column:
-    """The k-th value of the generator: seed * multiplier^k mod modulus, by binary powers."""
-    powers, p = [], MULTIPLIER
-    for _ in range(48):
-        powers.append(p)
-        p = p * p % MODULUS
-    steps = F.sequence(F.lit(0), F.lit(47))
-    table = F.array(*(F.lit(x) for x in powers))
-    bit = lambda i: F.getbit(k, i)
-    return F.aggregate(steps, F.lit(SEED).cast("bigint"), lambda acc, i: F.when(bit(i) == 1, acc * F.element_at(table, i + 1).cast("bigint") % MODULUS).otherwise(acc))
+    """The k-th value of the generator: seed * multiplier^k mod modulus, by tables of the powers of each of six bytes."""
+    out = F.lit(SEED).cast("bigint")
+    for shift in range(0, 48, 8):
+        powers = ", ".join(f"{pow(MULTIPLIER, d << shift, MODULUS)}L" for d in range(256))
+        digit = F.shiftright(k, shift).bitwiseAND(F.lit(255))
+        out = out * F.element_at(F.expr(f"array({powers})"), (digit + 1).cast("int")) % MODULUS
+    return out
 
 
 def bootstrap_bands(rows: DataFrame, groups: list[str], order: str, value: str, weight: str, draws: int = 200, low: int = 10, high: int = 189) -> DataFrame:
@@ -61,10 +59,12 @@ def bootstrap_bands(rows: DataFrame, groups: list[str], order: str, value: str,
     sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     start = sizes.withColumn("_start", F.coalesce(F.sum(F.col("_n") * draws).over(Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*groups).orderBy(order)) - 1)
-    plan = start.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
+    # a draw of a group is made in one task; the draws are rows times ``draws``, whatever a planner takes them for, so they are never broadcast
+    each = start.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(draws, *groups, "_d")
+    plan = each.withColumn("_j", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
     k = F.col("_start") + F.col("_d") * F.col("_n") + F.col("_j") + 1
     drawn = plan.withColumn("_i", F.floor(generator_value(k) * F.col("_n") / MODULUS).cast("int"))
-    means = drawn.join(ranked.select(*groups, "_i", F.col(value).alias("_v"), F.col(weight).alias("_w")), [*groups, "_i"]).groupBy(*groups, "_d").agg(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias("m"))
+    means = drawn.join(ranked.select(*groups, "_i", F.col(value).alias("_v"), F.col(weight).alias("_w")).hint("merge"), [*groups, "_i"]).groupBy(*groups, "_d").agg(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")).alias("m"))
     ordered = means.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy("m")))
     return ordered.groupBy(*groups).agg(F.max(F.when(F.col("_r") == low + 1, F.col("m"))).alias("lo"), F.max(F.when(F.col("_r") == high + 1, F.col("m"))).alias("hi"))
 
