@@ -143,8 +143,8 @@ WITH {PIECES}, a AS (SELECT vol, k, CASE WHEN k % 3 = 0 AND k > 1 THEN k - 1 ELS
 SELECT vol, vol || '-' || lpad(CAST(into_k * 2 AS VARCHAR), 3, '0') AS article, (4 * count(*))::BIGINT AS paragraphs FROM a GROUP BY vol, into_k""")
 def merged_articles(spark, sf):
     done = A.assign_articles(pieces(spark, sf))
-    gone = done.filter("article is not null").select("article", "page").groupBy("article").agg(F.min("page").alias("p")).filter((F.col("p") / 2) % 3 == 0).select("article")
-    return A.merge_articles(done, gone).groupBy("vol", "article").agg(F.count(F.lit(1)).alias("paragraphs"))
+    gone = done.filter("article is not null").groupBy("vol", "opened").agg(F.min("page").alias("p")).filter((F.col("p") / 2) % 3 == 0).select("vol", "opened")
+    return A.merge_articles(done, gone).groupBy("vol", "article", "opened").agg(F.count(F.lit(1)).alias("paragraphs")).drop("opened")
 
 
 @query("""
