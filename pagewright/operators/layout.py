@@ -50,7 +50,7 @@ def trailing(rows: DataFrame, key: str, pos: str, page: str, tabular: Column, go
     numbers, else they are inserts after the last page.
     """
     last = rows.filter(F.col(page).isNotNull()).groupBy(key).agg(F.max_by(F.struct(F.col(pos).alias("pos"), F.col(page).alias("page")), pos).alias("_l"))
-    tail = rows.join(last, key).filter(F.col(pos) > F.col("_l.pos"))
+    tail = rows.join(last.hint("merge"), key).filter(F.col(pos) > F.col("_l.pos"))
     k = F.row_number().over(_order(key, pos))
     kind = F.when(tabular, "plate").when(goes_on, "text").otherwise("insert")
     return tail.withColumn("_k", k).withColumn("kind", kind).select(key, pos, "kind", F.when(F.col("kind") == "text", F.col("_l.page") + F.col("_k")).when(F.col("kind") == "insert", F.col("_l.page")).alias("page"))
@@ -65,9 +65,9 @@ def goes_on_numbering(rows: DataFrame, key: str, pos: str, cand: str, section: C
     """(key, goes_on): is the median reading of a section above that of the last readings before it."""
     read = rows.filter(F.col(cand).isNotNull()).withColumn("_s", section)
     start = read.filter("_s").groupBy(key).agg(F.min(pos).alias("_from"), F.median(cand).alias("_own"))
-    before = read.join(start, key).filter(F.col(pos) < F.col("_from")).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(pos)))).filter(F.col("_r") <= back)
+    before = read.join(start.hint("merge"), key).filter(F.col(pos) < F.col("_from")).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(pos)))).filter(F.col("_r") <= back)
     mid = before.groupBy(key).agg(F.median(cand).alias("_mid"))
-    return start.join(mid, key, "left").select(key, F.coalesce(F.col("_own") > F.col("_mid"), F.lit(False)).alias("goes_on"))
+    return start.join(mid.hint("merge"), key, "left").select(key, F.coalesce(F.col("_own") > F.col("_mid"), F.lit(False)).alias("goes_on"))
 
 
 def carried_label(rows: DataFrame, key: str, pos: str, label: str, stays: Column) -> DataFrame:

@@ -340,7 +340,7 @@ def layout_rules(spark, sf):
     notice = c.filter("pos = 0").select("c_custkey", Y.name_line(F.lit("Father John Cunningham."), F.lit("prose " * 40), F.when(even, "before.").otherwise("before,")).alias("notice"))
     out = votes
     for part in (on, tail, room, front, block, notice):
-        out = out.join(part, "c_custkey")
+        out = out.join(part.hint("merge"), "c_custkey")  # a row an issue: too many to broadcast
     return out
 
 
