@@ -39,27 +39,51 @@ def _begins(term: Column, prefixes: list[str]) -> Column:
     return term.rlike("^(?:" + "|".join(re.escape(p) for p in prefixes) + ")")
 
 
+#: Between words, and a character beyond ASCII.
+BLANK, FOREIGN = r" \t\n\r\f\x0b", r"[^\x00-\x7f]"
+
+
+def _opening(prefixes: list[str]) -> str:
+    """How a word in lower case begins whose term begins with a prefix: characters that terms drop may stand between."""
+    dropped = rf"[^{BLANK}a-z0-9']*"
+    return "(?:" + "|".join("".join(dropped + re.escape(c) for c in p) for p in prefixes) + ")"
+
+
+def with_a_hit(docs: DataFrame, text: str, prefixes: list[str]) -> DataFrame:
+    """docs that have a word whose term begins with a query word; no text is cut into words."""
+    low = F.lower(F.when(F.col(text).rlike(FOREIGN), fold(F.col(text))).otherwise(F.col(text)))
+    return docs.filter(low.rlike(f"(?<![^{BLANK}])" + _opening(prefixes))) if prefixes else docs.limit(0)
+
+
 def with_hits(docs: DataFrame, text: str, prefixes: list[str]) -> DataFrame:
     """docs that have words which begin with a query word, with ``words`` and ``runs`` of such words (first, last).
 
-    All within the row: no word is shuffled.
+    All within the row: no word is shuffled, only texts with a hit are cut into words, and only
+    words with letters beyond ASCII are folded. Arrays are bound once before lambdas read them.
     """
-    placed = docs.withColumn("words", _forms(F.col(text)))
-    match = F.filter(F.transform("words", lambda w, i: F.when(_begins(_term(w), prefixes), i)), lambda i: i.isNotNull())
-    placed = placed.withColumn("_m", match).filter(F.size("_m") > 0)
-    first = F.filter("_m", lambda p, k: (k == 0) | (F.get("_m", k - 1) != p - 1))
-    last = F.filter("_m", lambda p, k: (k == F.size("_m") - 1) | (F.get("_m", k + 1) != p + 1))
-    return placed.withColumn("runs", F.arrays_zip(first.alias("first"), last.alias("last"))).drop("_m")
+    begins = lambda w: F.when(w.rlike(FOREIGN), _begins(_term(w), prefixes)).otherwise(F.lower(w).rlike("^" + _opening(prefixes)))
+    bound = lambda array, f: F.get(F.transform(F.array(array), f), F.lit(0))
+
+    def runs(m: Column) -> Column:
+        first = F.filter(m, lambda p, k: (k == 0) | (F.get(m, k - 1) != p - 1))
+        last = F.filter(m, lambda p, k: (k == F.size(m) - 1) | (F.get(m, k + 1) != p + 1))
+        return F.arrays_zip(first.alias("first"), last.alias("last"))
+
+    def found(words: Column) -> Column:
+        match = F.filter(F.transform(words, lambda w, i: F.when(begins(w), i)), lambda i: i.isNotNull())
+        return F.struct(words.alias("words"), bound(match, runs).alias("runs"))
+
+    return with_a_hit(docs, text, prefixes).withColumn("_f", bound(_forms(F.col(text)), found)).select(*docs.columns, "_f.words", "_f.runs")
 
 
 def hits(docs: DataFrame, key: str, text: str, prefixes: list[str]) -> DataFrame:
     """(key, first, last): runs of consecutive words that begin with a query word."""
-    return with_hits(docs, text, prefixes).select(key, F.explode("runs").alias("r")).select(key, "r.first", "r.last")
+    return with_hits(docs, text, prefixes).select(key, F.explode_outer("runs").alias("r")).filter("r is not null").select(key, "r.first", "r.last")
 
 
 def kwic(docs: DataFrame, key: str, text: str, prefixes: list[str], around: int = 14, width: int = 64) -> DataFrame:
     """(key, first, left, hit, right): each hit with its context, cut to a width on either side."""
-    found = with_hits(docs, text, prefixes).select(key, "words", F.explode("runs").alias("r"))
+    found = with_hits(docs, text, prefixes).select(key, "words", F.explode_outer("runs").alias("r")).filter("r is not null")
     first, last = F.col("r.first"), F.col("r.last")
     lo = F.greatest(first - around, F.lit(0))
     joined = lambda at, n: F.array_join(F.slice("words", at, n), " ")
@@ -90,7 +114,7 @@ def sorted_lines(lines: DataFrame, side: str, key: str, lead: int = 3) -> DataFr
 
 def collocates(docs: DataFrame, text: str, prefixes: list[str], stop: list[str], around: int = 5, min_length: int = 4, top: int = 24) -> DataFrame:
     """(term, n): words near the hits without query words and stop words."""
-    found = with_hits(docs, text, prefixes).select("words", F.explode("runs").alias("r"))
+    found = with_hits(docs, text, prefixes).select("words", F.explode_outer("runs").alias("r")).filter("r is not null")
     lo = F.greatest(F.col("r.first") - around, F.lit(0))
     near = F.concat(F.slice("words", lo + 1, F.col("r.first") - lo), F.slice("words", F.col("r.last") + 2, F.lit(around)))
     terms = found.select(F.explode(F.transform(near, _term)).alias("term"))

@@ -274,7 +274,7 @@ QUERY = ["whti", "hest"]
 
 
 def found(spark, sf):
-    return S.hits(table(spark, sf, "documents"), "doc_id", "text", QUERY)
+    return S.with_a_hit(table(spark, sf, "documents"), "text", QUERY).select("doc_id")
 
 
 @query(f"WITH {WORDS} SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM po GROUP BY term")
@@ -305,7 +305,9 @@ def kwic(spark, sf):
 WITH {KWIC}, f AS (SELECT *, trim(regexp_replace(strip_accents(lower("right")), '[^a-z]+', ' ', 'g')) AS form FROM kw)
 SELECT doc_id, first, form, row_number() OVER (ORDER BY form = '', form, doc_id, first)::INT AS place FROM f""")
 def kwic_sorted(spark, sf):
-    return S.sorted_lines(S.kwic(table(spark, sf, "documents"), "doc_id", "text", QUERY), "right", "doc_id").select("doc_id", "first", "form", "place")
+    lines, path = S.kwic(table(spark, sf, "documents"), "doc_id", "text", QUERY), scratch(spark, "kwic")
+    lines.write.parquet(path)  # they are counted and then ranked
+    return S.sorted_lines(spark.read.schema(lines.schema).parquet(path), "right", "doc_id").select("doc_id", "first", "form", "place")
 
 
 @query(f"WITH {WORDS} SELECT term, count(*) AS n FROM po WHERE term LIKE 'whti%' OR term LIKE 'hest%' GROUP BY term ORDER BY n DESC, term LIMIT 12")
