@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pages import spread
+
 
 def term_counts(tokens: DataFrame, term: str, part: str, section: str) -> DataFrame:
     """(term, part, section, n, level): counts by term, term and part, term and section in one pass."""
@@ -49,14 +51,15 @@ def pair_edges(baskets: DataFrame, basket: str, item: str, min_pairs: int = 1, k
     basket of n kept items adds 1 / (n - 1). fs and ft count the baskets of either item,
     baskets all baskets with an item, kept or not.
     """
-    distinct = baskets.select(basket, item).distinct()
+    distinct = spread(baskets.select(basket, item), basket).distinct()
     total = distinct.select(F.count_distinct(basket).alias("baskets"))
     some = distinct if kept is None else distinct.join(kept.select(item), item, "left_semi")
     sized = some.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(basket)))
     freq = some.groupBy(item).agg(F.count(F.lit(1)).alias("_f"))
-    left = sized.filter("_n > 1").select(basket, F.col(item).alias("s"), "_n")
-    right = sized.filter("_n > 1").select(basket, F.col(item).alias("t"))
-    pairs = left.join(right, basket).filter("s < t").groupBy("s", "t").agg(F.count(F.lit(1)).alias("f"), F.sum(1 / (F.col("_n") - 1)).alias("w")).filter(F.col("f") >= min_pairs)
+    # a basket lies in one task: its pairs are made there, from a row a basket
+    whole = sized.filter((F.col("_n") > 1) & F.col(basket).isNotNull()).groupBy(basket, "_n").agg(F.sort_array(F.collect_list(item)).alias("_i"))
+    left = whole.select("_n", "_i", F.posexplode("_i").alias("_at", "s"))
+    pairs = left.select("_n", "s", F.explode(F.slice("_i", F.col("_at") + 2, F.size("_i"))).alias("t")).groupBy("s", "t").agg(F.count(F.lit(1)).alias("f"), F.sum(1 / (F.col("_n") - 1)).alias("w")).filter(F.col("f") >= min_pairs)
     out = pairs.join(freq.select(F.col(item).alias("s"), F.col("_f").alias("fs")), "s").join(freq.select(F.col(item).alias("t"), F.col("_f").alias("ft")), "t")
     return out.crossJoin(F.broadcast(total)).select("s", "t", "f", "w", "fs", "ft", "baskets")
 

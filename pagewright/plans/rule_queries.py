@@ -15,6 +15,7 @@ from ..operators import articles as A
 from ..operators import headings as H
 from ..operators import layout as Y
 from ..operators import tables as B
+from ..operators.pages import spread
 from ..sources import readers, writers
 from .text_queries import query, table
 
@@ -242,7 +243,7 @@ def section_titles(spark, sf):
 # leaves of an issue a customer: forty numbered leaves, then one unread and three that count from 2
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 40 ELSE 41 END AS pos, CASE WHEN c_custkey % 2 = 0 THEN 'figures' ELSE 'heading' END AS how FROM customer")
 def section_begins(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(43))).alias("pos"))
+    c = spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(43))).alias("pos"))
     even = F.col("c_custkey") % 2 == 0
     cand = F.when(F.col("pos") < 40, F.col("pos") + 5).when((F.col("pos") > 40) & even, F.col("pos") - 39)
     titled = (F.col("pos") == 41) & ~even
@@ -254,7 +255,7 @@ def section_begins(spark, sf):
 WITH c AS (SELECT c_custkey, unnest(range(0, 6)) AS pos FROM customer)
 SELECT c_custkey, pos::INT AS pos, pos NOT IN (2, 3) AS text, pos = 5 AND c_custkey % 3 <> 0 AS signature, pos = 4 AS agrees FROM c""")
 def leaf_rules(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos"))
+    c = spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos"))
     at = lambda *xs: F.element_at(F.array(*(x if not isinstance(x, (str, int, bool, type(None))) else F.lit(x) for x in xs)), F.col("pos") + 1)
     letters = F.translate(F.concat(F.lit("THE HOUSE AT X"), s(F.col("c_custkey"))), "0123456789", "ABCDEFGHIK")
     carried = F.when(F.col("c_custkey") % 3 == 0, letters).otherwise("QUITE ANOTHER HEAD")
@@ -262,10 +263,11 @@ def leaf_rules(spark, sf):
         "c_custkey", "pos", F.lit(True).alias("t"), at(3000, 3000, 300, 900, 3000, 3000).alias("chars"), at(50, 51, 99, None, 53, 5).cast("int").alias("cand"), at(50, 51, 52, 53, 53, 54).alias("page"),
         at("A RUNNING HEAD", carried, None, None, None, letters).alias("head"), F.when(F.col("pos") == 5, F.array(F.lit("5"), letters)).otherwise(F.array(F.lit("x"))).alias("lines"), F.when(F.col("pos") == 4, F.concat(letters, F.lit("."))).when(F.col("pos") == 2, "zz").alias("top"),
     )
-    kept = H.plates(leaves, "c_custkey", "pos", "t", "chars", "cand", "page", "head").select("c_custkey", "pos", F.col("t").alias("text"))
-    sign = H.signatures(leaves, "c_custkey", "pos", "lines", "head", "cand", "page", back=4).select("c_custkey", "pos", "signature")
-    agree = H.agreeing_heads(leaves.withColumn("head", F.when(F.col("pos") == 5, F.col("head"))), "c_custkey", "pos", "top", "head").select("c_custkey", "pos", "agrees")
-    return kept.join(sign, ["c_custkey", "pos"]).join(agree.withColumn("agrees", F.col("agrees") & (F.col("pos") == 4)), ["c_custkey", "pos"])
+    # each rule adds to the leaves of the one before, which lie together by issue
+    kept = H.plates(leaves, "c_custkey", "pos", "t", "chars", "cand", "page", "head")
+    sign = H.signatures(kept, "c_custkey", "pos", "lines", "head", "cand", "page", back=4)
+    agree = H.agreeing_heads(sign.withColumn("head", F.when(F.col("pos") == 5, F.col("head"))), "c_custkey", "pos", "top", "head")
+    return agree.select("c_custkey", "pos", F.col("t").alias("text"), "signature", (F.col("agrees") & (F.col("pos") == 4)).alias("agrees"))
 
 
 @query("""

@@ -139,3 +139,13 @@ def test_near_duplicates_stream(spark):
     df = spark.createDataFrame([("a", k, x) for k, x in enumerate(sigs)] + [("b", 5, sigs[0]), (None, 6, sigs[0]), ("b", 6, None)], "k string, pos int, s string")
     got, took = seconds(pages.near_duplicate_window(df, "k", "pos", "s"))
     assert sorted((r.k, r.pos, r.like) for r in got) == [("a", k, k - 7) for k in range(100, 3_000, 200)] and took < 30
+
+
+def test_shares_of_tasks_stay(spark):
+    """The parts that order operators work on grow in number with the parts that are read; islands count repeated values once."""
+    rows = spark.range(0, 6_000, 1, 20).select((F.col("id") % 3).alias("k"), F.floor(F.col("id") / 6).alias("v"))
+    assert pages.spread(rows, "k").rdd.getNumPartitions() == 160
+    some = rows.filter("v <> 500").unionByName(rows.limit(1)).unionByName(spark.createDataFrame([(1, None)], "k long, v long"))
+    assert sorted((r.k, r["first"], r["last"], r.n) for r in pages.islands(some, "k", "v").collect()) == sorted((k, a, b, b - a + 1) for k in range(3) for a, b in ((0, 499), (501, 999)))
+    edges = network.pair_edges(rows.unionByName(spark.createDataFrame([(None, 1), (None, 2)], "k long, v long")).filter("v < 3"), "k", "v")
+    assert {(r.s, r.t): r.f for r in edges.collect()} == {(0, 1): 3, (0, 2): 3, (1, 2): 3}
